@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, ngram_join, pii, suffix_dedup, token_counts
+from . import chat_format, decontaminate, fingerprints, language_id, ngram_join, pii, quality, suffix_dedup, token_counts
 from .common import table
 
 
@@ -63,6 +63,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text modulo n; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    model = language_id.fit(language_id.training_sample(docs.filter(remainder(3) != 1)))
+    return language_id.predict_language(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=("doc_id", "held_out"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0)
+    model = quality.fit(*quality.training_sample(docs, labels))
+    out = quality.score_quality(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
