@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, language_id, ngram_join, pii, quality, suffix_dedup, token_counts
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_counts
 from .common import table
 
 
@@ -84,6 +84,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+#: Shares of the mixture by domain of the labelled table, and its size against the corpus.
+MIXTURE = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.07, "quality=1,toxic=1": 0.02, "quality=0,toxic=1": 0.01}
+MIXTURE_SIZE = 0.9
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["quality", "toxic"], MIXTURE, MIXTURE_SIZE)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
