@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,26 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def release() -> None:
+    """Gives memory back that the allocators of this worker hold for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,6 +89,7 @@ def map_arrow(
             if batch.num_rows:
                 out = fn(batch, *args)
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [out[n] for n, _ in fields], names + [n for n, _ in fields])
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import cut_lineage
-from .common import byte_view, map_arrow, mix64, scrambled, slices
+from .common import byte_view, map_arrow, mix64, release, scrambled, slices
 
 LENGTH, GRAM = 50, 24
-#: Anchors that a task holds at once; bits of the broadcast filter at most; least count of a hot anchor.
-HELD, BLOOM_BITS, HOT_LEAST, HOT_PER_BUCKET = 400_000, 1 << 28, 4096, 100
+#: Anchors and segments that a task holds at once; bits of the broadcast filter at most; least count of a hot anchor.
+ANCHORS_HELD, HELD, BLOOM_BITS, HOT_LEAST, HOT_PER_BUCKET = 1_000_000, 100_000, 1 << 28, 4096, 100
 LAST = 2**63 - 1
 
 _VALUE = scrambled(256, 0x736166)
@@ -165,11 +165,13 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int, gram: int, hot_
                 at, h = anchors(data[offsets[i] : offsets[j]], offs, length, gram)
                 found.append((h, doc + np.searchsorted(offs, at, side="right")))
                 doc, held = doc + j - i + 1, held + len(h)
-                if held >= 4 * HELD:
+                if held >= ANCHORS_HELD:
                     yield flush()
                     found, held = [], 0
         if found:
             yield flush()
+        found = []
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -382,8 +384,8 @@ def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits:
                 at, h = at[ok], h[ok]
                 padded = np.concatenate((np.zeros(side, np.uint8), part, np.zeros(width, np.uint8)))
                 view = np.lib.stride_tricks.sliding_window_view(padded, width)
-                for a in range(0, len(at), HELD // 4):
-                    p, x = at[a : a + HELD // 4], h[a : a + HELD // 4]
+                for a in range(0, len(at), HELD):
+                    p, x = at[a : a + HELD], h[a : a + HELD]
                     d = np.searchsorted(offs, p, side="right") - 1
                     segments = view[p]  # its first column is the byte `side` before the anchor
                     low = np.maximum(0, offs[d] - (p - side))
@@ -397,6 +399,8 @@ def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits:
                         found, held = [], 0
         if found:
             yield from flush(found)
+        found = []
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -421,6 +425,7 @@ def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits:
                 d, m, p = parts[2]
                 if len(d):
                     yield _reply(d, m, p, join(segments, np.int64, 2))
+        release()
 
     blobs = docs.mapInArrow(send, "bucket int, kind int, segments binary, doc binary, mark binary, place binary")
     return blobs.groupBy("bucket").agg(*(F.collect_list(c).alias(c) for c in cols[1:])).mapInArrow(meet, _REPLY)
