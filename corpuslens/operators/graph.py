@@ -36,20 +36,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     fewer or shorter, stars appear after a logarithmic number of rounds, and no
     node's neighbours are gathered in one row.
     """
-    links = cut_lineage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for _ in range(most_rounds):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("s"), F.col("b").alias("n"))
         # small star: a node's smaller neighbours, and itself, go to the least of them
-        down = large.select(F.col("b").alias("n"), F.col("a").alias("s"))
-        lowest = down.groupBy("n").agg(F.min("s").alias("m"))
-        small = down.join(lowest, "n").select(F.col("m").alias("a"), F.col("s").alias("b")).filter("a <> b").unionAll(lowest.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
-        small = cut_lineage(small)
-        # a forest of stars: no node is both a centre and a leaf, and each leaf has one centre
-        done = small.select("a").distinct().join(small.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() and small.groupBy("b").count().filter("count > 1").isEmpty()
-        links = small
-        if done:
+        lowest = large.groupBy("n").agg(F.min("s").alias("m"))
+        small = large.join(lowest, "n").select(F.col("m").alias("a"), F.col("s").alias("b")).filter("a <> b").unionAll(lowest.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
+        links = cut_lineage(small)
+        # a forest of stars: each leaf has one centre, and no node is both
+        ends = links.select(F.col("b").alias("n"), F.lit(1).alias("leaf")).unionAll(links.select(F.col("a").alias("n"), F.lit(0).alias("leaf")))
+        if ends.groupBy("n").agg(F.sum("leaf").alias("k"), F.min("leaf").alias("low")).filter("k > 1 OR (k = 1 AND low = 0)").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
