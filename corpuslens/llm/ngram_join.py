@@ -16,11 +16,10 @@ of that graph, exactly, without listing all pairs of a component:
    |x| - ceil(t|x|) + 1.
 4. *Groups*: classes with the same prefix and set size are one group. An inverted
    index of groups gives group pairs, filtered by size and position.
-5. *Stars first*: in each index list one group is the leader, and all members of
-   the others are verified against one of its members only; lists whose members
-   already are in one component are done. After a few such rounds the pairs of
-   members that still lie in different components are all verified. So no link
-   between components is lost, and a list of near copies costs its length.
+5. *Leaders first*: in each index list one group leads, and members whose label (a
+   component known so far) differs from its own are verified against one of its members;
+   a list of near copies so costs its length. When few pairs of members with different
+   labels are left, all of them are verified. No link between labels is lost.
 
 Null or wordless texts have an empty set and are components by themselves. Rows
 with the same doc_id are judged by their texts; a null doc_id never is the smallest.
@@ -38,9 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, cut_lineage
-from .common import byte_view, map_arrow, mix64, scrambled, slices
+from .common import byte_view, map_arrow, mix64, release, scrambled, slices
 
-SIZE, PERCENT, ROUNDS = 4, 85, 3
+SIZE, PERCENT, ROUNDS = 4, 85, 12
+#: Pairs for each row of the index, down to which rounds of leaders go on.
+#: A round must leave less than this share of the pairs for another one to follow.
+PAIRS_LEFT, SHRINK = 0.5, 0.6
 #: Counters of the frequency sketch and bits of the Bloom filter: bounds of what is broadcast.
 SKETCH, BLOOM_BITS = 1 << 22, 1 << 28
 #: Hashes that a screening task holds before it sends them on.
@@ -124,14 +126,14 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") | 1  # 0 stands for a mark
 
 
-def sets_of(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, digest and n_shingles of every row."""
+def sets_of(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep, digest and n_shingles of every row."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = [(_digest(s), len(s)) for s in shingle_sets(batch.column("text"), size)]
         return {"digest": pa.array([x[0] for x in sets], pa.binary()), "n_shingles": pa.array([x[1] for x in sets], pa.int64())}
 
-    return map_arrow(docs.select("doc_id", "text"), run, _fields("digest binary, n_shingles long"), drop=("text",))
+    return map_arrow(docs.select("doc_id", *keep, "text"), run, _fields("digest binary, n_shingles long"), drop=("text",))
 
 
 def _fields(ddl: str) -> list:
@@ -204,6 +206,8 @@ def screen(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
                     tokens, keys, held = [], [], 0
         if tokens:
             yield from send(tokens, keys)
+        tokens, keys = [], []
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,6 +223,7 @@ def screen(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
                 if tokens:
                     _, k, shared = _shared_by_classes(np.concatenate(tokens), np.concatenate(keys))
                     yield _counts(k[shared & (k != 0)])
+        release()
 
     blobs = docs.select("text").mapInArrow(prefixes, packed).groupBy("bucket").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("keys").alias("keys"))
     return blobs.mapInArrow(meet, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -234,8 +239,8 @@ def bloom(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame, n: int, most_bits: int = BLOOM_BITS) -> DataFrame:
-    """The rows of docs(doc_id, text) whose doc_id may be among n ids; a filter of bounded size.
+def maybe_in(docs: DataFrame, ids: DataFrame, n: int, fn, ddl: str, most_bits: int = BLOOM_BITS) -> DataFrame:
+    """fn of the texts of those rows whose doc_id may be among n ids; a filter of bounded size.
 
     It spares the join after it most rows; where there are more ids than it has room
     for, it lets more rows pass.
@@ -243,6 +248,7 @@ def maybe_in(docs: DataFrame, ids: DataFrame, n: int, most_bits: int = BLOOM_BIT
     bits = min(most_bits, max(1 << 12, 1 << int(16 * max(n, 1)).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids, bits))
     hashed = [F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), F.lit(k)), F.lit(bits)).alias(f"h{k}") for k in (1, 2)]
+    names = [x for x, _ in _fields(ddl)]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,10 +257,11 @@ def maybe_in(docs: DataFrame, ids: DataFrame, n: int, most_bits: int = BLOOM_BIT
                 p = b.column(k).to_numpy().astype(np.int64)
                 ok &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
             if ok.any():
-                at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("doc_id", "text")], ["doc_id", "text"])
+                out = fn(b.column("text").take(pa.array(np.flatnonzero(ok))))
+                yield pa.RecordBatch.from_arrays([out[x] for x in names], names)
+        release()
 
-    return docs.select("doc_id", "text", *hashed).mapInArrow(keep, docs.select("doc_id", "text").schema)
+    return docs.select("text", *hashed).mapInArrow(keep, ddl)
 
 
 def frequency_sketch(sets: DataFrame, counters: int = SKETCH) -> np.ndarray:
@@ -271,6 +278,8 @@ def frequency_sketch(sets: DataFrame, counters: int = SKETCH) -> np.ndarray:
             at = np.flatnonzero(x)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], ["part", "at", "n"])
+        del total, x
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,24 +333,27 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             if ok.any():
                 at = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+        release()
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH) -> DataFrame:
-    """(node, component) over sets(digest, n, shingles), of those that link with another."""
+    """(node, component) over sets(digest, n, shingles), of those that link with another.
+
+    Each round, every list of the index that still holds members with different labels
+    takes a leader from its most frequent label, and the members of other labels are
+    verified against it; those that link take its label. Equal labels always are
+    connected, so pairs within a label need no test. Rounds end when the pairs that are left
+    are no more than PAIRS_LEFT for each row of the index, when a round has not brought them
+    below SHRINK of what they were (what is left then hardly links), or at ``rounds``; then
+    those that may link by size and place are verified.
+    """
     index = cut_lineage(prefix_index(sets, percent, counters))
-    members = index.select("digest", "gid", "n")
     lists = cut_lineage(index.groupBy("gid", "n").agg(F.first("tokens").alias("tokens"), F.first("places").alias("places")).select("gid", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")))
-    edges = sets.sparkSession.createDataFrame([], "a binary, b binary")
-    tested = edges
-
-    def state() -> tuple[DataFrame, DataFrame]:
-        """(members with their components, groups with the range of these)."""
-        found = components(edges).withColumnRenamed("node", "digest") if rounds_done else None
-        own = members.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")) if found is not None else members.withColumn("component", F.col("digest"))
-        own = cut_lineage(own)
-        return own, own.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("digest").alias("first"))
+    own = index.select("digest", "gid", F.col("digest").alias("label"))
+    size = lists.count()
+    edges, tested, before = [], [], float("inf")
 
     def overlap(n, m):  # least intersection of linked sets of sizes n and m
         return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
@@ -352,54 +364,71 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
         rest = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= overlap(n, m))
 
-    for rounds_done in range(rounds + 1):
-        own, groups = state()
-        rows = lists.join(groups, "gid")
-        open_lists = rows.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min_by(F.struct("gid", "n", "place", "first"), F.xxhash64("gid", F.lit(rounds_done))).alias("leader")).filter("low <> high")
-        inner = own.join(groups.filter("low <> high").select("gid", "first"), "gid")
-        if rounds_done < rounds:
+    def new_pairs(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs that no round has verified."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        return cut_lineage(pairs)
+
+    for k in range(rounds + 1):
+        groups = own.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("digest").alias("first"))
+        rows = cut_lineage(lists.join(groups, "gid"))
+        mixed = groups.filter("low <> high").select("gid", "first")
+        by_label = rows.groupBy("token", "low").agg(F.count(F.lit(1)).alias("c"), F.max("high").alias("high"), F.min_by(F.struct("gid", "n", "place", "first"), F.xxhash64("gid", F.lit(k))).alias("leader"))
+        by_token = by_label.groupBy("token").agg(F.max_by("leader", F.struct("c", "low")).alias("leader"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("low").alias("low"), F.max(F.greatest("low", "high")).alias("high"))
+        open_lists = cut_lineage(by_token.filter("low <> high").select("token", "leader", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("left")))
+        left = open_lists.agg(F.sum("left")).first()[0] or 0
+        if not left and mixed.isEmpty():
+            break
+        if k < rounds and left > PAIRS_LEFT * size and left < SHRINK * before:
+            before = left
             met = rows.alias("x").join(open_lists.select("token", "leader.*").alias("y"), "token").filter(F.col("x.gid") != F.col("y.gid")).filter(may_link("x", "y"))
-            met = met.select(F.col("y.first").alias("a"), F.col("x.gid").alias("gid")).distinct()
-            pairs = met.join(own.select("gid", F.col("digest").alias("b"), F.col("component").alias("cb")), "gid").select("a", "b", "cb")
-            pairs = pairs.unionByName(inner.select(F.col("first").alias("a"), F.col("digest").alias("b"), F.col("component").alias("cb")))
-            pairs = pairs.join(own.select(F.col("digest").alias("a"), F.col("component").alias("ca")), "a").filter("ca <> cb")
-        else:  # all that is still apart
-            live = rows.join(open_lists.select("token"), "token", "left_semi")
-            met = live.alias("x").join(live.alias("y"), "token").filter(F.col("x.gid") < F.col("y.gid")).filter(may_link("x", "y")).filter(~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))))
-            met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
-            pairs = met.unionByName(groups.filter("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
-            side = lambda k: own.select(F.col("gid").alias(f"g{k}"), F.col("digest").alias(k), F.col("component").alias(f"c{k}"))
-            pairs = pairs.join(side("a"), "ga").join(side("b"), "gb").filter("ca <> cb and (ga <> gb or a < b)")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            if open_lists.isEmpty() and inner.isEmpty():
-                break
+            met = met.select(F.col("y.first").alias("a"), F.col("x.gid").alias("gid")).unionByName(mixed.select(F.col("first").alias("a"), "gid")).distinct()
+            leaders = own.select(F.col("digest").alias("a"), F.col("label").alias("la"))
+            labelled = met.join(leaders, "a").join(own.select("gid", F.col("digest").alias("b"), F.col("label").alias("lb")), "gid").filter("la <> lb")
+            pairs = new_pairs(labelled.select("a", "b"))
+            linked = cut_lineage(verify(pairs, sets, percent))
+            # the member's whole label goes over to the leader's
+            both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            moves = labelled.join(both, ["a", "b"]).groupBy("lb").agg(F.min("la").alias("to"))
+            own = cut_lineage(own.join(moves, F.col("label") == F.col("lb"), "left").select("digest", "gid", F.coalesce("to", "label").alias("label")))
+            tested.append(pairs)
+            edges.append(linked)
             continue
-        tested = tested.unionByName(pairs)
-        edges = cut_lineage(edges.unionByName(verify(pairs, sets, percent)))
-    return components(edges)
-
-
-def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut_lineage(sets_of(docs, size))
+        # all that is still apart
+        live = rows.join(open_lists.select("token"), "token", "left_semi")
+        met = live.alias("x").join(live.alias("y"), "token").filter(F.col("x.gid") < F.col("y.gid")).filter(may_link("x", "y")).filter(~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))))
+        met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct().unionByName(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+        side = lambda s: own.select(F.col("gid").alias(f"g{s}"), F.col("digest").alias(s), F.col("label").alias(f"l{s}"))
+        pairs = new_pairs(met.join(side("a"), "ga").join(side("b"), "gb").filter("la <> lb and (ga <> gb or a < b)"))
+        edges.append(cut_lineage(verify(pairs, sets, percent)))
+        break
+    linked = sets.sparkSession.createDataFrame([], "a binary, b binary")
+    for e in edges:
+        linked = linked.unionByName(e)
+    return components(linked)
+
+
+def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and keep of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    sets = cut_lineage(sets_of(docs, size, keep))
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     low = map_arrow(classes, lambda b: {"key": pa.array(np.array([_key(x) for x in b.column("digest").to_pylist()], np.uint64).view(np.int64))}, _fields("key long"))
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("c.n") * percent / 100) / 10))
     left = cut_lineage(low.alias("c").join(screen(docs, size, percent).alias("s"), "key").filter(F.col("s.n") >= need).select("digest", "id", F.col("c.n").alias("n")))
     many = left.count()
 
-    def full(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        got = [(_digest(s), s.tobytes()) for s in shingle_sets(batch.column("text"), size)]
+    def full(texts: pa.Array) -> dict[str, pa.Array]:
+        got = [(_digest(s), s.tobytes()) for s in shingle_sets(texts, size)]
         return {"digest": pa.array([x[0] for x in got], pa.binary()), "shingles": pa.array([x[1] for x in got], pa.binary())}
 
-    texts = map_arrow(maybe_in(docs, left.select("id"), many), full, _fields("digest binary, shingles binary"), drop=("doc_id", "text"))
+    texts = maybe_in(docs, left.select("id"), many, full, "digest binary, shingles binary")
     chosen = cut_lineage(left.select("digest", "n").join(texts, "digest").dropDuplicates(["digest"]))
     found = linked_classes(chosen, percent, rounds, counters)
     ids = classes.select("digest", "id").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     roots = ids.join(least, "component").select("digest", "component_id")
     joined = sets.join(roots, "digest", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
