@@ -47,6 +47,43 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(of(*pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+#: The contract's patterns, and the added kinds' with a character on either side (RE2 has no look-around).
+_OP4_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}",
+    "local_phone": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}",
+}
+_OP4_FOUND = " UNION ALL ".join(
+    f"""SELECT doc_id, t, '{kind}' AS kind, {rank} AS rank, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d))"""
+    for rank, (kind, p) in enumerate(_OP4_PATTERNS.items())
+)
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_OP4_FOUND}), n AS (
+  SELECT *, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits, reverse(regexp_replace(v, '[^0-9]', '', 'g')) AS turned,
+    substr(t, s, 1) AS before, substr(t, s + length(v) + 1, 1) AS after, lower(substr(t, greatest(s - 40, 0)::BIGINT + 1, least(s, 40)::BIGINT)) AS context,
+    substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4) AS moved FROM f
+), k AS (
+  SELECT doc_id, kind, rank, s, e FROM n WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS INTEGER), 999) <= 255))
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN turned[i]::INT ELSE turned[i]::INT * 2 - CASE WHEN turned[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    WHEN 'iban' THEN NOT regexp_matches(before || after, '[A-Za-z0-9]') AND list_reduce(list_transform(string_split(moved, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97, 0) = 1
+    ELSE NOT regexp_matches(before, '[0-9A-Za-z+(]') AND NOT regexp_matches(after, '[0-9A-Za-z]') AND regexp_matches(context, '(^|[^\p{{L}}\p{{N}}])({pii.CONTEXT["local_phone"]})($|[^\p{{L}}\p{{N}}])') END
+), a AS (
+  SELECT * FROM k WHERE rank < 4 UNION ALL
+  SELECT * FROM k WHERE rank >= 4 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.rank < 4 AND b.doc_id = k.doc_id AND b.s < k.e AND k.s < b.e)
+), l AS (SELECT *, kind || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM a)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, rank) FILTER (rank < 4), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, rank), '') AS spans
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -153,4 +190,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_pii": OP4_SQL, "op9_ngram_join": OP9_SQL, "op10_chat_format": OP10_SQL}
