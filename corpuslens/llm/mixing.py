@@ -209,12 +209,13 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: list[str], weights: dict[s
     domains = fit_domains(docs, labelled, labels, text, train_rows, buckets)
     rows = docs.select(*dict.fromkeys([*keep, "doc_id", text])).withColumn("_hash", F.xxhash64("doc_id", text))
     member = memberships(rows, domains, text)
-    kept = cut_lineage(member.select("_tokens", "_p") if text in keep else member.drop(text))
+    # written once: a filter on rates would else pull the memberships into every step of every rate
+    kept = cut_lineage(member if text in keep else member.drop(text))
     total = kept.agg(F.coalesce(F.sum("_tokens"), F.lit(0.0))).first()[0]
     history = fit_rates(kept, targets_of(domains, weights, tokens_kept * total))
     r = rate(F.col("_tokens"), F.col("_p"), history)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
-    out = (member if text in keep else kept).withColumn("_rate", r)
+    out = kept.withColumn("_rate", r)
     added = {
         "n_tokens": F.col("_tokens").cast("long"),
         "domain": F.element_at(F.array(*map(F.lit, domains.names)), best),
