@@ -20,6 +20,10 @@ of that graph, exactly, without listing all pairs of a component:
    component known so far) differs from its own are verified against one of its members;
    a list of near copies so costs its length. When few pairs of members with different
    labels are left, all of them are verified. No link between labels is lost.
+6. *Parity maps*: bit b of a set's map is the parity of its hashes that fall on b, so two
+   maps differ in no more bits than the sets differ in hashes. In the last step, pairs
+   whose maps differ in more bits than linked sets may differ in hashes are never made, and
+   a pair is made where its first shared hash of the prefix stands.
 
 Null or wordless texts have an empty set and are components by themselves. Rows
 with the same doc_id are judged by their texts; a null doc_id never is the smallest.
@@ -45,6 +49,8 @@ SIZE, PERCENT, ROUNDS = 4, 85, 12
 PAIRS_LEFT, SHRINK = 0.5, 0.6
 #: Counters of the frequency sketch and bits of the Bloom filter: bounds of what is broadcast.
 SKETCH, BLOOM_BITS = 1 << 22, 1 << 28
+#: Bits of a set's parity map, and how many preceding hashes of a prefix an index row of the last step carries.
+PARITY_BITS, BEFORE = 512, 16
 #: Hashes that a screening task holds before it sends them on.
 HELD = 1_000_000
 
@@ -297,12 +303,18 @@ def frequency_sketch(sets: DataFrame, counters: int = SKETCH) -> np.ndarray:
     return out
 
 
+def parity_map(hashes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Bit b: the parity of the hashes that fall on b, as 64-bit words."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_index(sets: DataFrame, percent: int = PERCENT, counters: int = SKETCH) -> DataFrame:
-    """digest, n, gid (prefix and size) and prefix (hashes that occur twice or more, with places) of each set."""
+    """digest, n, gid (prefix and size), prefix (hashes that occur twice or more, with places) and parity map of each set."""
     shared = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets, counters))
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        gids, tokens, places = [], [], []
+        gids, tokens, places, maps = [], [], [], []
         for s in batch.column("shingles"):
             s = np.frombuffer(s.as_py(), np.uint64)
             n = len(s)
@@ -313,9 +325,10 @@ def prefix_index(sets: DataFrame, percent: int = PERCENT, counters: int = SKETCH
             kept = np.flatnonzero(how_often[order] > 4)
             tokens.append(s[order][kept].view(np.int64))
             places.append(kept.astype(np.int32))
-        return {"gid": pa.array(gids, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32()))}
+            maps.append(parity_map(s))
+        return {"gid": pa.array(gids, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32())), "parity": pa.array(maps, pa.list_(pa.int64()))}
 
-    return map_arrow(sets, run, _fields("gid binary, tokens array<long>, places array<int>"), drop=("shingles",))
+    return map_arrow(sets, run, _fields("gid binary, tokens array<long>, places array<int>, parity array<long>"), drop=("shingles",))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -353,7 +366,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
     lists = cut_lineage(index.groupBy("gid", "n").agg(F.first("tokens").alias("tokens"), F.first("places").alias("places")).select("gid", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")))
     own = index.select("digest", "gid", F.col("digest").alias("label"))
     size = lists.count()
-    edges, tested, before = [], [], float("inf")
+    edges, tested, before, words = [], [], float("inf"), PARITY_BITS // 64
 
     def overlap(n, m):  # least intersection of linked sets of sizes n and m
         return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
@@ -364,6 +377,11 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
         rest = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= overlap(n, m))
 
+    def near_enough(x: str, y: str, n, m):
+        """Whether the bits that surely differ (all of x's maps have them, none of y's, or the other way round) are no more than linked sets differ in."""
+        apart = sum(F.bit_count(F.col(f"{x}.all{i}").bitwiseAND(F.bitwise_not(f"{y}.any{i}")).bitwiseOR(F.col(f"{y}.all{i}").bitwiseAND(F.bitwise_not(f"{x}.any{i}")))) for i in range(words))
+        return apart <= n + m - 2 * overlap(n, m)
+
     def new_pairs(pairs: DataFrame) -> DataFrame:
         """Distinct pairs that no round has verified."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -398,10 +416,18 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
             continue
         # all that is still apart
         live = rows.join(open_lists.select("token"), "token", "left_semi")
-        met = live.alias("x").join(live.alias("y"), "token").filter(F.col("x.gid") < F.col("y.gid")).filter(may_link("x", "y")).filter(~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))))
+        maps = [f(F.col("parity")[i]).alias(f"{name}{i}") for i in range(words) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+        whole = index.groupBy("gid").agg(F.first("tokens").alias("tokens"), F.first("places").alias("places"), *maps)
+        live = live.join(whole, "gid").withColumn("at", F.array_position("places", F.col("place")).cast("int"))
+        live = live.withColumn("before", F.slice("tokens", F.greatest(F.lit(1), F.col("at") - BEFORE), F.least(F.lit(BEFORE), F.col("at") - 1))).drop("tokens", "places", "at")
+        apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
+        # of the hashes that two prefixes share, the first has none before it; a later one far from it may make the pair again
+        first = ~F.arrays_overlap("x.before", "y.before")
+        met = live.alias("x").join(live.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & may_link("x", "y") & apart & first & near_enough("x", "y", F.col("x.n"), F.col("y.n")))
         met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct().unionByName(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
-        side = lambda s: own.select(F.col("gid").alias(f"g{s}"), F.col("digest").alias(s), F.col("label").alias(f"l{s}"))
-        pairs = new_pairs(met.join(side("a"), "ga").join(side("b"), "gb").filter("la <> lb and (ga <> gb or a < b)"))
+        members = own.join(index.select("digest", "n", *(F.col("parity")[i].alias(f"{name}{i}") for i in range(words) for name in ("all", "any"))), "digest")
+        both = met.join(members.alias("x"), F.col("ga") == F.col("x.gid")).join(members.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & ((F.col("ga") != F.col("gb")) | (F.col("x.digest") < F.col("y.digest"))) & near_enough("x", "y", F.col("x.n"), F.col("y.n")))
+        pairs = new_pairs(both.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
         edges.append(cut_lineage(verify(pairs, sets, percent)))
         break
     linked = sets.sparkSession.createDataFrame([], "a binary, b binary")

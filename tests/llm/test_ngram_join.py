@@ -80,3 +80,14 @@ def test_sets_do_not_depend_on_the_batch():
     together = [s.tolist() for s in nj.shingle_sets(pa.array(texts))]
     assert together == [next(nj.shingle_sets(pa.array([t]))).tolist() for t in texts]
     assert all(np.all(np.diff(np.array(s, np.uint64)) > 0) for s in together if len(s) > 1)
+
+
+def test_parity_maps_differ_in_no_more_bits_than_sets_do():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 60, 900):
+        x = nj.mix64(r.integers(0, 1 << 40, n).astype(np.uint64))
+        y = np.concatenate((x[n // 4 :], nj.mix64(r.integers(0, 1 << 40, 1 + n // 5).astype(np.uint64))))
+        differ = len(np.setxor1d(x, y))
+        bits = sum(int(v).bit_count() for v in (nj.parity_map(x) ^ nj.parity_map(y)).view(np.uint64))
+        assert bits <= differ and (bits - differ) % 2 == 0
+        assert (nj.parity_map(x) == nj.parity_map(x[::-1])).all()
