@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, map_arrow, mix64, scrambled, slices, strings
+from .common import byte_view, map_arrow, mix64, release, scrambled, slices, strings
 
 #: Bounds of the training sample: texts per label, words per text, and labels.
 PER_LANGUAGE, TRAIN_WORDS, MOST_LABELS = 400, 400, 64
@@ -201,6 +201,7 @@ def fit(samples: dict[str, list[str]], epochs: int = EPOCHS, step: float = STEP,
     gold = np.concatenate(label_of)
     square, moved = np.full_like(weights, 1e-3), np.full_like(transitions, 1e-3)
     for _ in range(epochs):
+        release()
         order = rng.permutation(len(spans))
         # half of the sequences switch language from span to span, half hardly ever do
         for block in np.array_split(order, max(1, len(order) // 2000)):
@@ -264,6 +265,7 @@ def training_sample(docs: DataFrame, label: str = "lang", text: str = "text", pe
 
 def predict_language(docs: DataFrame, model: Crf, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred and score per row."""
+    release()  # what training has left in the driver
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
