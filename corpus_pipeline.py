@@ -6,7 +6,8 @@ Parquet into the shared folder (``spark.checkpoint.dir``) and reads it again.
 
 1. language: documents without a predicted language, or of less than MIN_SHARE of one, go.
 2. near_copies: of each component of the n-gram Jaccard join, the document of least id
-   stays; documents without words are no one's copies.
+   stays (a null id is no one's least; of equal ids one text); documents without words are
+   no one's copies.
 3. decontaminate: contaminated documents go.
 4. pii: personal data in texts becomes ``<KIND>``; n_chars, if there, follows.
 5. mix: each document comes as often as its rate says (copy_no from 1), with its
@@ -50,14 +51,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = cut_lineage(ngram_join.ngram_components(docs.withColumn("_tag", tag), keep=("_tag",)))
-    # the rows of a component that have its least id: one text of them stays
-    same = F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("_tag"))
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id", same.alias("_same")).agg(F.min("_tag").alias("_tag"), F.count(F.lit(1)).alias("_n"))
+    found = cut_lineage(ngram_join.ngram_components(docs.withColumn("_tag", tag), keep=("_tag",), root="_root"))
     keys = ["_id", "_tag"]
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_tag": tag})
     identity = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id")
-    gone = found.select(identity, "_tag").distinct().join(chosen.select(identity, "_tag"), keys, "left_anti")
+    # by the root, as a component_id may stand for several components
+    worded = found.filter("n_shingles > 0").select("_root", identity, "_tag")
+    chosen = worded.groupBy("_root").agg(F.min(F.struct(*keys)).alias("_one")).select("_one.*")
+    gone = worded.select(*keys).distinct().join(chosen, keys, "left_anti")
     gone = cut_lineage(gone)
     few = gone.count() <= MOST_BROADCAST
     out = keyed.join(F.broadcast(gone) if few else gone, keys, "left_anti")

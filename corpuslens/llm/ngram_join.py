@@ -436,8 +436,12 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
     return components(linked)
 
 
-def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and keep of every row."""
+def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH, keep: tuple[str, ...] = (), root: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and keep of every row.
+
+    A component_id need not be one component's alone, as rows may share a doc_id or have none. With
+    root, a column of that name tells components apart (the digest of one class; null without words).
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     sets = cut_lineage(sets_of(docs, size, keep))
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
@@ -455,6 +459,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     found = linked_classes(chosen, percent, rounds, counters)
     ids = classes.select("digest", "id").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
-    roots = ids.join(least, "component").select("digest", "component_id")
+    own = [F.col("component").alias(root)] if root else []
+    roots = ids.join(least, "component").select("digest", "component_id", *own)
     joined = sets.join(roots, "digest", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep, *([root] if root else []))

@@ -46,3 +46,15 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_components_that_share_an_id_or_have_none(spark, tmp_path):
+    r = random.Random(7)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    # 5 twice, unlinked; b has further copies; c and d, each with a copy, have no ids; of e's rows, one has no id
+    rows = [(5, a), (5, b), (9, b + " more"), (10, b + " yet"), (None, c), (None, c + " more"), (None, d), (None, d), (None, e), (3, e + " more"), (None, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or -1, x.text) for x in cp.near_copies(spark, docs, str(tmp_path)).collect())
+    kept_c = [t for _, t in got if t.startswith(c)]
+    assert len(kept_c) == 1
+    assert got == sorted([(5, a), (5, b), (-1, kept_c[0]), (-1, d), (3, e + " more"), (-1, ""), (5, "")])
