@@ -103,7 +103,12 @@ def slugify(c: Column) -> Column:
 
 def whole_word(text: Column, alias: Column) -> Column:
     """Whether a lower-cased text holds an alias between word boundaries (in lower case it cannot end the quotation)."""
-    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)\b\Q"), F.lower(alias), F.lit(r"\E\b")))
+    return holds_word(F.lower(text), alias)
+
+
+def holds_word(low: Column, alias: Column) -> Column:
+    """whole_word of a text that is in lower case."""
+    return F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), F.lower(alias), F.lit(r"\E\b")))
 
 
 def uuid5(name: Column, namespace: str = CHUNK_NAMESPACE) -> Column:

@@ -7,11 +7,13 @@ entities (pos, char_id, label, aliases).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import indel_ratio
-from ..functions.text import is_alias_candidate, normalise_mention, pieces, shares_significant, significant, slugify, tokens, whole_word
+from ..functions.text import holds_word, is_alias_candidate, normalise_mention, pieces, shares_significant, significant, slugify, tokens, whole_word
 from .graph import components
 
 SIMILARITY, LEAST_COUNT, ANCHOR_COUNT, DOMINANCE, LEAST_TITLES, MAX_WORDS = 85, 3, 5, 2.0, 2, 4
@@ -19,6 +21,9 @@ SIMILARITY, LEAST_COUNT, ANCHOR_COUNT, DOMINANCE, LEAST_TITLES, MAX_WORDS = 85,
 #: Stand-in for a tagger: runs of one to four capitalised words.
 NAMES = r"\p{Lu}[\p{L}’']+(?: \p{Lu}[\p{L}’']+){0,3}"
 
+#: Characters of which only one of tokens and word boundaries makes a part of words.
+ODD_WORDS = r"(?U)[\w&&[^\p{L}\p{N}_]]|[\p{L}\p{N}&&[^\w]]"
+
 
 def name_spans(text: Column) -> Column:
     """Surrogate person tagger: array<string> of capitalised sequences."""
@@ -34,37 +39,79 @@ def count_mentions(mentions: DataFrame) -> DataFrame:
 def alias_pairs(counts: DataFrame, least_count: int = LEAST_COUNT, similarity: float = SIMILARITY, anchor_count: int = ANCHOR_COUNT) -> DataFrame:
     """(a, b) of names of one person, a before b by pos.
 
-    Longer names pair if the words of one hold those of the other, which needs a word in
-    common: an equi-join on words. Single words pair by spelling: two
-    of ratio r share many letters, so they are joined on (length band) and compared.
+    Longer names pair if the words of one hold those of the other: the smaller one's
+    rarest word is looked up among all words. Single words pair by spelling,
+    blocked by segments (see _spelled_alike).
     Of two names with two significant parts or more, a larger one of three or more must be frequent.
     """
     low = F.lower("name")
     names = counts.filter(F.col("cnt") >= least_count).select("pos", "name", "cnt", low.alias("w"), F.array_distinct(pieces(low)).alias("words"), F.size(significant(F.col("name"))).alias("sig"))
     many, one = names.filter(F.size("words") > 1), names.filter(F.size("words") == 1)
-    parts = many.select("pos", "name", "cnt", "sig", "words", F.explode("words").alias("part"))
-    side = lambda k: parts.select("part", *(F.col(c).alias(f"{c}_{k}") for c in ("pos", "name", "cnt", "sig", "words")))
-    met = side("a").join(side("b"), "part").filter("pos_a < pos_b").drop("part").dropDuplicates(["pos_a", "pos_b"])
-    inside = (F.size(F.array_except("words_a", "words_b")) == 0) | (F.size(F.array_except("words_b", "words_a")) == 0)
-    larger_sig = F.greatest("sig_a", "sig_b")
-    larger_cnt = F.when(F.col("sig_a") > F.col("sig_b"), F.col("cnt_a")).otherwise(F.col("cnt_b"))
-    rare_anchor = (F.least("sig_a", "sig_b") > 1) & (larger_sig >= 3) & (larger_cnt < anchor_count)
-    long_pairs = met.filter(inside & ~rare_anchor)
-    words = one.withColumn("len", F.length("w"))
-    # lengths n <= m of a pair satisfy 200 n / (n + m) >= similarity
-    reach = F.floor(F.col("len") * (200 - similarity) / similarity)
-    bands = words.withColumn("len", F.explode(F.sequence(F.col("len"), F.greatest(reach.cast("int"), F.col("len")))))
-    left = bands.select(F.col("pos").alias("pos_a"), F.col("name").alias("name_a"), F.col("w").alias("w_a"), "len")
-    right = words.select(F.col("pos").alias("pos_b"), F.col("name").alias("name_b"), F.col("w").alias("w_b"), "len")
-    close = left.join(right, "len").filter("pos_a <> pos_b").filter(_letters_shared(F.col("w_a"), F.col("w_b")) * 200 >= similarity * (F.length("w_a") + F.length("w_b")))
-    close = close.filter(indel_ratio(F.col("w_a"), F.col("w_b")) >= similarity)
-    short_pairs = close.select(F.when(F.col("pos_a") < F.col("pos_b"), F.struct(F.col("name_a").alias("a"), F.col("name_b").alias("b"))).otherwise(F.struct(F.col("name_b").alias("a"), F.col("name_a").alias("b"))).alias("p")).select("p.a", "p.b").distinct()
-    return long_pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).unionByName(short_pairs)
-
-
-def _letters_shared(a: Column, b: Column) -> Column:
-    """Letters of a that b has too, an upper bound of the common subsequence."""
-    return F.size(F.filter(F.split(a, ""), lambda c: F.contains(b, c)))
+    whole = F.struct("pos", "name", "cnt", "sig", "words")
+    parts = many.select(F.explode("words").alias("part"), whole.alias("y"))
+    rarest = parts.join(parts.groupBy("part").agg(F.count(F.lit(1)).alias("k")), "part").groupBy(F.col("y.pos").alias("pos")).agg(F.min(F.struct("k", "part")).alias("r"))
+    held = many.join(rarest, "pos").select(F.col("r.part").alias("part"), whole.alias("x")).join(parts, "part")
+    held = held.filter((F.col("x.pos") != F.col("y.pos")) & (F.size(F.array_except("x.words", "y.words")) == 0))
+    first = F.col("x.pos") < F.col("y.pos")
+    met = held.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
+    larger_cnt = F.when(F.col("a.sig") > F.col("b.sig"), F.col("a.cnt")).otherwise(F.col("b.cnt"))
+    rare_anchor = (F.least("a.sig", "b.sig") > 1) & (F.greatest("a.sig", "b.sig") >= 3) & (larger_cnt < anchor_count)
+    long_pairs = met.filter(~rare_anchor).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+    return long_pairs.unionByName(_spelled_alike(one, similarity)).distinct()
+
+
+def _spelled_alike(words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of words(pos, name, w) whose Indel ratio is similarity at least.
+
+    Words of n <= m letters that are alike differ by at most d deletions and insertions, and
+    each of these spoils one of d + 1 segments of the shorter word at most. So one segment stands
+    in the longer word, moved by no more than there are deletions or insertions: an equi-join, exact.
+    """
+    n, m, i = F.col("n"), F.col("m"), F.col("i")
+    sized = words.select("pos", "name", "w", F.length("w").alias("len"))
+
+    def cut(pairs: DataFrame) -> DataFrame:
+        """A row for each segment: place and letters, and the most deletions and insertions."""
+        both = pairs.withColumn("_l", F.ceil((n + m) * similarity / 200 - 1e-9).cast("int"))
+        both = both.withColumn("less", n - F.col("_l")).withColumn("more", m - F.col("_l")).filter("less >= 0")
+        k = F.col("less") + F.col("more") + 1
+        both = both.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), k - 1)))
+        place = F.floor(i * n / F.col("k")).cast("int")
+        return both.withColumn("at", place).withColumn("letters", F.floor((i + 1) * n / F.col("k")).cast("int") - place)
+
+    def keyed(rows: DataFrame, at: Column, side: str) -> DataFrame:
+        key = F.xxhash64(n, m, i, F.substr("w", at + 1, F.col("letters")))
+        return rows.select(key.alias("key"), F.struct("pos", "name", "w").alias(side)).distinct()
+
+    longest = F.floor(F.col("len") * (200 - similarity) / similarity + 1e-9).cast("int")
+    shortest = F.ceil(F.col("len") * similarity / (200 - similarity) - 1e-9).cast("int")
+    short = cut(sized.withColumn("n", F.col("len")).withColumn("m", F.explode(F.sequence(F.col("len"), longest))))
+    long = cut(sized.withColumn("m", F.col("len")).withColumn("n", F.explode(F.sequence(shortest, F.col("len")))))
+    moved = long.withColumn("by", F.explode(F.sequence(-F.col("less"), F.col("more")))).withColumn("to", F.col("at") + F.col("by")).filter("to >= 0 AND to + letters <= m")
+    met = keyed(short, F.col("at"), "x").join(keyed(moved, F.col("to"), "y"), "key").filter("x.pos <> y.pos")
+    first = F.col("x.pos") < F.col("y.pos")
+    pairs = met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+    flat = pairs.select(*(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ab" for y in ("name", "w")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            words = zip(t.column("a_w").to_pylist(), t.column("b_w").to_pylist(), strict=True)
+            ok = pa.array([200 * _common(x, y) >= similarity * (len(x) + len(y)) for x, y in words], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a_name").filter(ok), t.column("b_name").filter(ok)], ["a", "b"])
+
+    return flat.mapInArrow(run, "a string, b string")
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each letter of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def cluster_aliases(counts: DataFrame, least_count: int = LEAST_COUNT, similarity: float = SIMILARITY, anchor_count: int = ANCHOR_COUNT) -> DataFrame:
@@ -200,24 +247,37 @@ def label_of(ids: DataFrame, entities: DataFrame) -> DataFrame:
     return ids.join(entities.select("char_id", "label"), "char_id", "left")
 
 
+def _adjacent(words: Column) -> Column:
+    """Pairs of neighbouring words, as one string each."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def alias_table(entities: DataFrame) -> DataFrame:
-    """(char_id, alias, key): the longest token of each alias, which tends to be rare, is its key."""
+    """(char_id, alias, key): an alias's key is its token or, of several, the longest pair of neighbours."""
     rows = entities.select("char_id", F.explode(F.array_distinct("aliases")).alias("alias")).filter("alias <> ''")
     words = tokens(F.col("alias"))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keys = F.when(F.size(words) > 1, _adjacent(words)).otherwise(words)
+    longest = F.array_max(F.transform(keys, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     return rows.withColumn("key", longest)
 
 
 def tag_characters(chunks: DataFrame, entities: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(key, characters): sorted ids of the entities that have an alias in a chunk as whole words.
 
-    Chunks meet aliases by an equi-join on a token of the alias, and only then the
-    pattern is tried; aliases without a token are few and tried on every chunk.
+    Chunks meet aliases by an equi-join on a token of the alias or two neighbouring ones. An alias
+    that is one token is found by that, where tokens end at word boundaries; else the pattern is
+    tried, once the text has joined all it may hold. Aliases without a token are few and tried on every chunk.
     """
     aliases = alias_table(entities)
-    words = chunks.select(key, text, F.explode(F.array_distinct(tokens(F.col(text)))).alias("key_"))
-    met = words.join(aliases.filter("key IS NOT NULL").withColumnRenamed("key", "key_"), "key_")
-    hits = met.filter(whole_word(F.col(text), F.col("alias"))).select(key, "char_id")
+    words = F.transform(F.array(tokens(F.col(text))), lambda w: F.array_distinct(F.concat(w, _adjacent(w))))[0]
+    keyed = chunks.select(key, (~F.regexp_like(F.lower(text), F.lit(ODD_WORDS))).alias("plain"), F.explode(words).alias("key_"))
+    may = keyed.join(aliases.filter("key IS NOT NULL").withColumnRenamed("key", "key_"), "key_")
+    sure = F.col("plain") & (F.lower("alias") == F.col("key_")) & ~F.contains("key_", F.lit(" "))
+    unsure = may.filter(~sure).groupBy(key).agg(F.collect_set(F.struct("char_id", "alias")).alias("_may"))
+    # the lower-cased text is bound once for all aliases
+    held = F.transform(F.array(F.lower(text)), lambda t: F.filter("_may", lambda x: F.contains(t, F.lower(x["alias"])) & holds_word(t, x["alias"])))[0]
+    tried = chunks.select(key, text).join(unsure, key).select(key, F.explode(held).alias("x")).select(key, "x.char_id")
+    hits = may.filter(sure).select(key, "char_id").unionByName(tried)
     odd = aliases.filter("key IS NULL")
     if not odd.isEmpty():
         every = chunks.select(key, text).join(odd, whole_word(F.col(text), F.col("alias")))

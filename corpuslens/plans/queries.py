@@ -6,6 +6,8 @@ embeddings are vectors, conversations are turns.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -449,9 +451,14 @@ def _mentions(spark, sf_dir) -> DataFrame:
 
 
 def _counts(spark, sf_dir) -> DataFrame:
-    """Counts of the 400 most frequent names, numbered by count, then name."""
-    counted = entities.count_mentions(_mentions(spark, sf_dir)).orderBy(F.desc("cnt"), "name").limit(400)
-    return cut_lineage(counted.select((F.row_number().over(Window.orderBy(F.desc("cnt"), "name")) - 1).alias("pos"), "name", "cnt"))
+    """Counts of all names, numbered by count, then name."""
+    counted = cut_lineage(entities.count_mentions(_mentions(spark, sf_dir)).orderBy(F.desc("cnt"), "name"))
+    # each sorted partition counts on from those before it, so no task sees all names
+    sizes = dict(counted.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]
+    at = F.monotonically_increasing_id()
+    first = F.get(F.array(*map(F.lit, before)), F.shiftright(at, 33).cast("int"))
+    return cut_lineage(counted.select((first + at.bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"), "name", "cnt"))
 
 
 def mention_counts(spark, sf_dir):
@@ -497,7 +504,7 @@ SELECT arg_min(k.name, k.pos) AS canonical, string_agg(k.name, '|' ORDER BY k.po
 
 
 def tag_characters(spark, sf_dir):
-    counts = _counts(spark, sf_dir).filter("pos < 40")
+    counts = _counts(spark, sf_dir)
     people = entities.to_entities(counts.select(F.col("pos").cast("long").alias("pos"), F.col("name").alias("canonical"), F.array("name").alias("aliases")))
     tagged = entities.tag_characters(_docs(spark, sf_dir), people)
     return tagged.select("id", F.array_join("characters", ",").alias("characters"))
@@ -571,7 +578,7 @@ FROM documents WHERE substr(source, 4)::INT % 7 <> 0 AND source NOT IN ('src9',
 
 def cluster_totals(spark, sf_dir):
     counts = _counts(spark, sf_dir)
-    c = counts.filter("pos % 10 = 0").select(F.col("pos").cast("long").alias("pos"), F.col("name").alias("canonical"), F.array("name", F.lit("No Such Name")).alias("aliases"))
+    c = counts.select(F.col("pos").cast("long").alias("pos"), F.col("name").alias("canonical"), F.array("name", F.lit("No Such Name")).alias("aliases"))
     return entities.cluster_totals(c, counts).select("canonical", "total")
 
 

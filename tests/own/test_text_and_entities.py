@@ -12,6 +12,7 @@ from corpuslens.functions import fuzzy, text as tx
 from corpuslens.functions.vectors import bag_vectors
 from corpuslens.operators import chapters, chunking, entities
 from corpuslens.operators.graph import components
+from corpuslens.plans import queries
 
 
 def column(spark, values, fn):
@@ -192,3 +193,59 @@ def test_outline(spark):
     assert [(x.chapter_num, x.text) for x in got] == [(1, "one.\n\ntwo three” end")]
     books = chapters.by_book(chapters.chapters_from_outline(outline, pages, 400, "volume"), chapters.book_titles(outline, "volume").limit(0))
     assert books.first().title == "Book 1" and chapters.flatten_books(books).first().chapter_title == "A"
+
+
+def test_alias_pairs_are_those_of_all_pairs(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    names = []
+    for n in range(1, 21):
+        for _ in range(12):
+            w = word(n)
+            names.append(w)
+            for _ in range(r.randint(1, 4)):
+                i = r.randrange(len(w) + 1)
+                w = r.choice([w[:i] + word(1) + w[i:], w[:i] + w[i + 1 :] or w])
+                names.append(w)
+    names += [" ".join(r.choice(["ann", "bo", "vale", "reed", "kit", "cole"]) for _ in range(r.randint(2, 4))) for _ in range(120)]
+    names = sorted(set(names), key=lambda x: (len(x) % 7, x))
+    rows = [(x.title(), r.randint(2, 7)) for x in names]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(row)
+            last = row[0]
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    want = set()
+    for j, (b, cb) in enumerate(rows):
+        for a, ca in rows[:j]:
+            x, y = set(a.lower().split()), set(b.lower().split())
+            if min(ca, cb) < 3 or (len(x) > 1) != (len(y) > 1):
+                continue
+            if len(x) == 1 and " " not in a + b and 200 * lcs(a.lower(), b.lower()) >= 85 * (len(a) + len(b)):
+                want.add((a, b))
+            if len(x) > 1 and (x <= y or y <= x) and not (min(len(x), len(y)) > 1 and max(len(x), len(y)) >= 3 and (ca if len(x) > len(y) else cb) < 5):
+                want.add((a, b))
+    got = [(x.a, x.b) for x in entities.alias_pairs(counts(spark, rows)).collect()]
+    single = {n for n, _ in rows if " " not in n or len(set(n.split())) > 1}
+    got = [p for p in got if set(p) <= single]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_entity_queries_take_all_names(spark, tmp_path):
+    letters = "abcdefghij"
+    names = ["".join(letters[int(d)] * 2 for d in f"{i:03d}").title() for i in range(500)]
+    docs = [(i, f"{n} 1 {n} 2 {n} 3", "en", "s0", 9) for i, n in enumerate(names)] + [(500, "Zoe Quill 1 Zoe Quill 2 Zoe Quill 3 Zoe May Quill 1 Zoe May Quill 2 Zoe May Quill 3 Zoe May Quill 4 Zoe May Quill 5", "en", "s0", 9)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    path = str(tmp_path)
+    numbered = queries._counts(spark, path).orderBy("pos").collect()
+    assert [x.pos for x in numbered] == list(range(502)) and [x.name for x in numbered] == ["Zoe May Quill", *sorted([*names, "Zoe Quill"])]
+    assert ("Zoe May Quill", "Zoe Quill") in {(x.a, x.b) for x in queries.alias_pairs(spark, path).collect()}
+    assert sum(len(x.aliases.split("|")) for x in queries.alias_clusters(spark, path).collect()) == 502
+    tags = {x.id: x.characters for x in queries.tag_characters(spark, path).collect()}
+    assert tags == {**{i: n.lower() for i, n in enumerate(names)}, 500: "zoe_may_quill,zoe_quill"}
+    assert queries.cluster_totals(spark, path).count() == 502
