@@ -587,7 +587,7 @@ SQL["cluster_totals"] = f"WITH {_SQL_MENTIONS}, n AS (SELECT name, cnt, row_numb
 
 def coref_titles(spark, sf_dir):
     """Co-reference clusters made from documents: two mentions of one name and a title with one of its words."""
-    names = _mentions(spark, sf_dir).filter("name LIKE '% %'").filter("i < 40")
+    names = _mentions(spark, sf_dir).filter("name LIKE '% %'")
     low = F.lower(F.element_at(F.split("name", " "), -1))
     base = names.select(F.col("doc_id").alias("chapter_id"), F.col("i").alias("cluster_id"), "name", low.alias("low"))
     persons = base.select("chapter_id", (F.col("cluster_id") * 100).alias("start"), (F.col("cluster_id") * 100 + 9).alias("end"), F.col("name").alias("text"))

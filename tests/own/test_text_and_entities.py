@@ -249,3 +249,10 @@ def test_entity_queries_take_all_names(spark, tmp_path):
     tags = {x.id: x.characters for x in queries.tag_characters(spark, path).collect()}
     assert tags == {**{i: n.lower() for i, n in enumerate(names)}, 500: "zoe_may_quill,zoe_quill"}
     assert queries.cluster_totals(spark, path).count() == 502
+
+
+def test_coref_titles_take_all_mentions(spark, tmp_path):
+    text = " 1 ".join(f"Zoe{chr(97 + i // 26)}{chr(97 + i % 26)} Quill{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(45))
+    spark.createDataFrame([(i, text) for i in range(2)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.title: x.owners for x in queries.coref_titles(spark, str(tmp_path)).collect()}
+    assert len(got) == 45 and got["that quillbs"] == "Zoebs Quillbs"
