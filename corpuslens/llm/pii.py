@@ -14,7 +14,9 @@ Base kinds are kept whenever their check holds, whatever their score:
 Kinds that the method adds are kept from ``threshold`` on, unless they overlap a
 base span:
 
-* iban: two capitals, two digits, 11 to 30 capitals or digits, mod-97 is 1;
+* iban: two capitals, two digits, 11 to 30 capitals or digits, mod-97 is 1. Its pattern
+  proposes starts; of the ends at which no letter or digit follows and that pass, the one at the country's
+  length counts, else the last;
 * local_phone: ten digits in the North American manner without ``+``. Nothing
   confirms it, so it needs a context word near it.
 
@@ -42,9 +44,16 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})",
     "local_phone": r"(?<![0-9A-Za-z+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
 }
+#: How far an account number may reach from its start, and so many characters at most with the one behind it.
+IBAN_RUN, IBAN_MOST = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", 68
+#: How many capitals and digits the account numbers of a country have.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
 #: What a text must hold for a pattern to be tried: a cheap test.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Words that make a kind likelier when they stand before it.
@@ -97,6 +106,29 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
+def ibans(text: Column) -> Column:
+    """Confirmed account numbers, leftmost first and apart: array<struct<start, end, value>>."""
+
+    def last_end(rest: Column) -> Column:
+        most = F.length(F.regexp_extract(rest, IBAN_RUN, 0))
+        ends = F.sequence(F.lit(15), F.greatest(most, F.lit(15)))
+        bare = lambda e: F.length(F.replace(F.substr(rest, F.lit(1), e), F.lit(" "), F.lit("")))
+        country = F.substr(rest, F.lit(1), F.lit(2))
+        fixed = F.coalesce(*(F.when(country.isin(v.split()), F.lit(k)) for k, v in IBAN_LENGTHS.items()), F.lit(0))
+        passing = F.filter(ends, lambda e: (e <= most) & (F.substr(rest, e, F.lit(1)) != " ") & ~F.substr(rest, e + 1, F.lit(1)).rlike("[A-Za-z0-9]") & (bare(e) >= 15) & mod97(F.substr(rest, F.lit(1), e)))
+        return F.array_max(F.transform(passing, lambda e: F.struct((bare(e) == fixed).alias("fixed"), e.alias("e"))))["e"]
+
+    def whole(x: Column) -> Column:
+        rest = F.substr(text, (x["start"] + 1).cast("int"), F.lit(IBAN_MOST))
+        # bound once, as each use would cut it again
+        n = F.transform(F.array(rest), last_end)[0]
+        return F.transform(F.array(n), lambda k: F.struct(x["start"].alias("start"), (x["start"] + k).alias("end"), F.substr(text, (x["start"] + 1).cast("int"), k).alias("value")))[0]
+
+    found = F.filter(F.transform(located(text, PATTERNS["iban"]), whole), lambda x: x["end"].isNotNull())
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    return F.aggregate(found, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x))).otherwise(acc))
+
+
 def confirmed(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda x: F.regexp_replace(x, "^0+", "").rlike(r"^(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
@@ -104,14 +136,12 @@ def confirmed(kind: str, value: Column) -> Column:
         return luhn(digits(value))
     if kind == "phone":
         return F.length(digits(value)).between(10, 15)
-    if kind == "iban":
-        return mod97(value)
     return F.lit(True)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: array<struct<start, rank, end, kind, score>>."""
-    found = F.filter(located(text, PATTERNS[kind]), lambda x: confirmed(kind, x["value"]))
+    found = ibans(text) if kind == "iban" else F.filter(located(text, PATTERNS[kind]), lambda x: confirmed(kind, x["value"]))
     words = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{CONTEXT[kind]})(?![\p{{L}}\p{{N}}])"
 
     def scored(x: Column) -> Column:

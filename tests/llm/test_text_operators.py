@@ -122,6 +122,17 @@ def test_pii_checks_and_context(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_ibans_with_capitals_digits_and_words_behind_them(spark):
+    spaced, solid = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    behind = ["", ".", " BIC COBADEFF", " Please pay", " 12 EUR", " A", " " + solid + " X1", "\n" + solid]
+    texts = [f"é {n}{b}" for n in (spaced, solid) for b in behind] + [spaced + "X", spaced + "1", "X" + spaced, spaced[:-1] + "1 BIC COBADEFF"]
+    found = pii.find_pii(docs(spark, texts)).orderBy("doc_id").collect()
+    got = [[texts[x.doc_id][s.start : s.end] for s in x.spans if s.kind == "iban"] for x in found]
+    assert got == [[n] + [solid] * (solid in b) for n in (spaced, solid) for b in behind] + [[]] * 4
+    clean = pii.find_pii(docs(spark, texts[2:4]), keep=("doc_id", "text")).select("doc_id", pii.redact(pii.F.col("text"), pii.F.col("spans"))).collect()
+    assert sorted(x[1] for x in clean) == ["é <IBAN> BIC COBADEFF", "é <IBAN> Please pay"]
+
+
 # ---- 5 fingerprints
 
 
