@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def buckets_of(df: DataFrame, most: int) -> int:
+    """Into how many buckets packed values are dealt: one for each so many bytes that df reads, four for each shuffle partition at least."""
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = read if read < 1 << 60 else 0  # rows that aren't read from files have no size
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // most))
+
+
 def strings(col: pa.Array) -> pa.Array:
     """The column as large_string without nulls (null: empty)."""
     if isinstance(col, pa.ChunkedArray):

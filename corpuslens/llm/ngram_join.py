@@ -14,20 +14,26 @@ of that graph, exactly, without listing all pairs of a component:
 3. *Prefix*: the hashes of the classes left are ordered by a frequency sketch of
    bounded size (rare first), then by hash; two linked sets share one of their first
    |x| - ceil(t|x|) + 1.
-4. *Groups*: classes with the same prefix and set size are one group. An inverted
-   index of groups gives group pairs, filtered by size and position.
-5. *Leaders first*: in each index list one group leads, and members whose label (a
-   component known so far) differs from its own are verified against one of its members;
-   a list of near copies so costs its length. When few pairs of members with different
-   labels are left, all of them are verified. No link between labels is lost.
+4. *Blocks*: the least of a class's shared screening hashes, in two fixed scramblings, puts
+   it into at most two blocks with classes that share it. A block of more than a bounded number
+   of hashes is cut in parts at random, differently for the two. Each block is a
+   bounded matrix product that gives all intersections in it; the links so found make the
+   labels (components known so far) of step 5. A set so travels twice, not once for each pair.
+5. *Groups*: classes with the same prefix and set size are one group. An inverted index of groups
+   gives pairs of groups, filtered by size and position; lists whose groups all have
+   one label are closed, and of those left, groups of the commonest label only meet the others.
 6. *Parity maps*: bit b of a set's map is the parity of its hashes that fall on b, so two
-   maps differ in no more bits than the sets differ in hashes. In the last step, pairs
-   whose maps differ in more bits than linked sets may differ in hashes are never made, and
-   a pair is made where its first shared hash of the prefix stands.
+   maps differ in no more bits than the sets differ in hashes. Pairs whose maps differ in more
+   bits than linked sets may differ in hashes are never made, and a pair is made
+   where its first shared hash of the prefix stands.
+7. *Members*: group pairs are expanded to members with different labels, and these are verified.
+   Pairs of the same two blocks are verified together, so each set goes there once. No link
+   between labels is lost.
 
 Null or wordless texts have an empty set and are components by themselves. Rows
 with the same doc_id are judged by their texts; a null doc_id never is the smallest.
-An empty table gives an empty result. Other columns are ignored.
+A text may be of any length: its set travels as one value. An empty table gives an empty result. Other
+columns are ignored, or kept with ``keep``.
 """
 
 from __future__ import annotations
@@ -41,24 +47,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, cut_lineage
-from .common import byte_view, map_arrow, mix64, release, scrambled, slices
+from .common import buckets_of, byte_view, map_arrow, mix64, release, scrambled, slices
 
-SIZE, PERCENT, ROUNDS = 4, 85, 12
-#: Pairs for each row of the index, down to which rounds of leaders go on.
-#: A round must leave less than this share of the pairs for another one to follow.
-PAIRS_LEFT, SHRINK = 0.5, 0.6
+SIZE, PERCENT = 4, 85
 #: Counters of the frequency sketch and bits of the Bloom filter: bounds of what is broadcast.
 SKETCH, BLOOM_BITS = 1 << 22, 1 << 28
-#: Bits of a set's parity map, and how many preceding hashes of a prefix an index row of the last step carries.
-PARITY_BITS, BEFORE = 512, 16
+#: Bits of a set's parity map, and how many preceding hashes of a prefix an index row carries.
+PARITY_BITS, BEFORE = 1024, 16
 #: Hashes that a screening task holds before it sends them on.
 HELD = 1_000_000
+#: Hashes of a block (a set counts as at least LEAST_WEIGHT), and columns of its matrix that are multiplied at once.
+BLOCK_HASHES, LEAST_WEIGHT, COLUMNS = 1 << 18, 1 << 10, 1 << 13
+#: Bytes of input for each bucket of the screen.
+BUCKET_BYTES = 64 << 20
 
 _SEPARATORS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _VALUE = scrambled(256, 0x776F7264)[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BLOCK_SEEDS = scrambled(2, 0x626C6F63)
 _TURN = scrambled(1024, 0x7368696E) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -166,18 +174,29 @@ def _shared_by_classes(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray
     return tokens, keys, np.repeat((lengths > 1) | marked, lengths)
 
 
-def _counts(keys: np.ndarray) -> pa.RecordBatch:
-    values, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["key", "n"])
+_SCREENED = "key long, n long, m0 long, m1 long"
+
+
+def _screened(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key: itself, the number of its tokens, and the least of them in two scramblings, as rows of signed integers."""
+    order = np.argsort(keys, kind="stable")
+    tokens, keys = tokens[order], keys[order]
+    starts, lengths = _runs(keys)
+    least = [np.minimum.reduceat(mix64(tokens ^ seed), starts).view(np.int64) if len(starts) else starts for seed in _BLOCK_SEEDS]
+    return np.stack([keys[starts].view(np.int64), lengths.astype(np.int64), *least])
+
+
+def _screened_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["key", "n", "m0", "m1"])
 
 
 def screen(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(key, n): of each class, how many of its screening hashes other classes share.
+    """(key, n, m0, m1): how many of each class's screening hashes other classes share, and the least of those in two scramblings.
 
     A class of which a task holds several copies may be counted more than once,
     which only lets more classes pass.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    buckets = buckets_of(docs, BUCKET_BYTES)
     packed = "bucket int, tokens binary, keys binary"
 
     def dealt(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -188,12 +207,12 @@ def screen(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
     def send(tokens: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
         t, k, shared = _shared_by_classes(np.concatenate(tokens), np.repeat(np.array(keys, np.uint64), [len(x) for x in tokens]))
-        own, n = np.unique(k[shared], return_counts=True)
+        own = _screened(t[shared], k[shared])
         marks = t[shared][_runs(t[shared])[0]]
         t, k = np.concatenate((t[~shared], marks)), np.concatenate((k[~shared], np.zeros(len(marks), np.uint64)))
         rows = [(bucket, t[at].tobytes(), k[at].tobytes()) for bucket, at in dealt(t)]
         # what this task counted itself travels as rows without tokens
-        rows += [(bucket, b"", own[at].tobytes() + n[at].astype(np.int64).tobytes()) for bucket, at in dealt(own)]
+        rows += [(bucket, b"", own[:, at].tobytes()) for bucket, at in dealt(own[0].view(np.uint64))]
         cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "tokens", "keys"])
 
@@ -224,15 +243,15 @@ def screen(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
                         tokens.append(np.frombuffer(t, np.uint64))
                         keys.append(np.frombuffer(k, np.uint64))
                     else:
-                        both = np.frombuffer(k, np.int64).reshape(2, -1)
-                        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["key", "n"])
+                        yield _screened_batch(np.frombuffer(k, np.int64).reshape(4, -1))
                 if tokens:
-                    _, k, shared = _shared_by_classes(np.concatenate(tokens), np.concatenate(keys))
-                    yield _counts(k[shared & (k != 0)])
+                    t, k, shared = _shared_by_classes(np.concatenate(tokens), np.concatenate(keys))
+                    shared &= k != 0
+                    yield _screened_batch(_screened(t[shared], k[shared]))
         release()
 
     blobs = docs.select("text").mapInArrow(prefixes, packed).groupBy("bucket").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("keys").alias("keys"))
-    return blobs.mapInArrow(meet, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return blobs.mapInArrow(meet, _SCREENED).groupBy("key").agg(F.sum("n").alias("n"), F.min("m0").alias("m0"), F.min("m1").alias("m1"))
 
 
 def bloom(ids: DataFrame, bits: int) -> np.ndarray:
@@ -310,7 +329,7 @@ def parity_map(hashes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
 
 
 def prefix_index(sets: DataFrame, percent: int = PERCENT, counters: int = SKETCH) -> DataFrame:
-    """digest, n, gid (prefix and size), prefix (hashes that occur twice or more, with places) and parity map of each set."""
+    """id, n, block, gid (prefix and size), prefix (hashes that occur twice or more, with places) and parity map of each set."""
     shared = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets, counters))
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -331,42 +350,106 @@ def prefix_index(sets: DataFrame, percent: int = PERCENT, counters: int = SKETCH
     return map_arrow(sets, run, _fields("gid binary, tokens array<long>, places array<int>, parity array<long>"), drop=("shingles",))
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of bounded parts of the incidence matrix."""
+    m = len(sets)
+    both = np.zeros((m, m), np.float64)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    starts, lengths = _runs(tokens[order])
+    column = np.repeat(np.cumsum(lengths > 1) - 1, lengths)
+    many = np.repeat(lengths > 1, lengths)  # the others only count for a set itself, which nobody asks for
+    row, column = owner[order][many], column[many]
+    at = 0
+    while at < len(column):
+        first = column[at]
+        end = int(np.searchsorted(column, first + COLUMNS))
+        part = np.zeros((m, column[end - 1] - first + 1), np.float32)
+        part[row[at:end], column[at:end] - first] = 1
+        both += part @ part.T
+        at = end
+    return both.astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each pair of sets links (a set doesn't link with itself)."""
+    n = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    out = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list, ...]]:
+    """Columns of the rows of each block, which come one after the other."""
+    held: list[list] = [[] for _ in names]
+    block = None
+    for b in batches:
+        blocks, cols = b.column("block").to_pylist(), [b.column(x) for x in names]
+        for i, k in enumerate(blocks):
+            if k != block and held[0]:
+                yield tuple(held)
+                held = [[] for _ in names]
+            block = k
+            for to, col in zip(held, cols, strict=True):
+                to.append(col[i].as_py())
+    if held[0]:
+        yield tuple(held)
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def block_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that span the components within each block of sets(id, blocks, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, shingles in _by_block(batches, ["id", "shingles"]):
+            if len(ids) > 1:
+                near = linked([np.frombuffer(s, np.uint64) for s in shingles], percent)
+                label = np.arange(len(ids))
+                while True:
+                    least = np.minimum(label, np.where(near, label[None, :], len(ids)).min(1))
+                    least = least[least]
+                    if (least == label).all():
+                        break
+                    label = least
+                at = np.flatnonzero(label != np.arange(len(ids)))
+                yield _edges([ids[label[i]] for i in at], [ids[i] for i in at])
+        release()
+
+    dealt = sets.select("id", "shingles", F.explode("blocks").alias("block"))
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs(a, b) that link."""
-    left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    """Those of pairs(block, a, b) that link; block: that of all pairs of the same two blocks."""
+    asked = pairs.groupBy("block", F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
+    answering = pairs.select("block", F.col("b").alias("id"), F.array().cast("array<bigint>").alias("others"))
+    wanted = asked.unionByName(answering).groupBy("block", "id").agg(F.flatten(F.collect_set("others")).alias("others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
-            if ok.any():
-                at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+        for ids, shingles, others in _by_block(batches, ["id", "shingles", "others"]):
+            place = {x: i for i, x in enumerate(ids)}
+            at = [(i, place[y]) for i, ys in enumerate(others) for y in ys]
+            near = linked([np.frombuffer(s, np.uint64) for s in shingles], percent)
+            found = [(i, j) for i, j in at if near[i, j]]
+            yield _edges([ids[i] for i, _ in found], [ids[j] for _, j in found])
         release()
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return wanted.join(sets.select("id", "shingles"), "id").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH) -> DataFrame:
-    """(node, component) over sets(digest, n, shingles), of those that link with another.
+def _labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) of all ids: the least id of the component."""
+    return ids.join(components(edges), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"))
 
-    Each round, every list of the index that still holds members with different labels
-    takes a leader from its most frequent label, and the members of other labels are
-    verified against it; those that link take its label. Equal labels always are
-    connected, so pairs within a label need no test. Rounds end when the pairs that are left
-    are no more than PAIRS_LEFT for each row of the index, when a round has not brought them
-    below SHRINK of what they were (what is left then hardly links), or at ``rounds``; then
-    those that may link by size and place are verified.
-    """
-    index = cut_lineage(prefix_index(sets, percent, counters))
-    lists = cut_lineage(index.groupBy("gid", "n").agg(F.first("tokens").alias("tokens"), F.first("places").alias("places")).select("gid", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")))
-    own = index.select("digest", "gid", F.col("digest").alias("label"))
-    size = lists.count()
-    edges, tested, before, words = [], [], float("inf"), PARITY_BITS // 64
+
+def linked_classes(sets: DataFrame, percent: int = PERCENT, counters: int = SKETCH, blocks: bool = True) -> DataFrame:
+    """(node, component) over sets(id, n, blocks, shingles), of those that link with another."""
+    words = PARITY_BITS // 64
+    first_links = cut_lineage(block_links(sets if blocks else sets.limit(0), percent))
 
     def overlap(n, m):  # least intersection of linked sets of sizes n and m
         return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
@@ -377,89 +460,87 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS
         rest = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= overlap(n, m))
 
-    def near_enough(x: str, y: str, n, m):
+    def near_enough(x: str, y: str):
         """Whether the bits that surely differ (all of x's maps have them, none of y's, or the other way round) are no more than linked sets differ in."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         apart = sum(F.bit_count(F.col(f"{x}.all{i}").bitwiseAND(F.bitwise_not(f"{y}.any{i}")).bitwiseOR(F.col(f"{y}.all{i}").bitwiseAND(F.bitwise_not(f"{x}.any{i}")))) for i in range(words))
         return apart <= n + m - 2 * overlap(n, m)
 
-    def new_pairs(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that no round has verified."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        return cut_lineage(pairs)
-
-    for k in range(rounds + 1):
-        groups = own.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("digest").alias("first"))
-        rows = cut_lineage(lists.join(groups, "gid"))
-        mixed = groups.filter("low <> high").select("gid", "first")
-        by_label = rows.groupBy("token", "low").agg(F.count(F.lit(1)).alias("c"), F.max("high").alias("high"), F.min_by(F.struct("gid", "n", "place", "first"), F.xxhash64("gid", F.lit(k))).alias("leader"))
-        by_token = by_label.groupBy("token").agg(F.max_by("leader", F.struct("c", "low")).alias("leader"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("low").alias("low"), F.max(F.greatest("low", "high")).alias("high"))
-        open_lists = cut_lineage(by_token.filter("low <> high").select("token", "leader", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("left")))
-        left = open_lists.agg(F.sum("left")).first()[0] or 0
-        if not left and mixed.isEmpty():
-            break
-        if k < rounds and left > PAIRS_LEFT * size and left < SHRINK * before:
-            before = left
-            met = rows.alias("x").join(open_lists.select("token", "leader.*").alias("y"), "token").filter(F.col("x.gid") != F.col("y.gid")).filter(may_link("x", "y"))
-            met = met.select(F.col("y.first").alias("a"), F.col("x.gid").alias("gid")).unionByName(mixed.select(F.col("first").alias("a"), "gid")).distinct()
-            leaders = own.select(F.col("digest").alias("a"), F.col("label").alias("la"))
-            labelled = met.join(leaders, "a").join(own.select("gid", F.col("digest").alias("b"), F.col("label").alias("lb")), "gid").filter("la <> lb")
-            pairs = new_pairs(labelled.select("a", "b"))
-            linked = cut_lineage(verify(pairs, sets, percent))
-            # the member's whole label goes over to the leader's
-            both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            moves = labelled.join(both, ["a", "b"]).groupBy("lb").agg(F.min("la").alias("to"))
-            own = cut_lineage(own.join(moves, F.col("label") == F.col("lb"), "left").select("digest", "gid", F.coalesce("to", "label").alias("label")))
-            tested.append(pairs)
-            edges.append(linked)
-            continue
-        # all that is still apart
-        live = rows.join(open_lists.select("token"), "token", "left_semi")
-        maps = [f(F.col("parity")[i]).alias(f"{name}{i}") for i in range(words) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
-        whole = index.groupBy("gid").agg(F.first("tokens").alias("tokens"), F.first("places").alias("places"), *maps)
-        live = live.join(whole, "gid").withColumn("at", F.array_position("places", F.col("place")).cast("int"))
-        live = live.withColumn("before", F.slice("tokens", F.greatest(F.lit(1), F.col("at") - BEFORE), F.least(F.lit(BEFORE), F.col("at") - 1))).drop("tokens", "places", "at")
-        apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-        # of the hashes that two prefixes share, the first has none before it; a later one far from it may make the pair again
-        first = ~F.arrays_overlap("x.before", "y.before")
-        met = live.alias("x").join(live.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & may_link("x", "y") & apart & first & near_enough("x", "y", F.col("x.n"), F.col("y.n")))
-        met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct().unionByName(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
-        members = own.join(index.select("digest", "n", *(F.col("parity")[i].alias(f"{name}{i}") for i in range(words) for name in ("all", "any"))), "digest")
-        both = met.join(members.alias("x"), F.col("ga") == F.col("x.gid")).join(members.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & ((F.col("ga") != F.col("gb")) | (F.col("x.digest") < F.col("y.digest"))) & near_enough("x", "y", F.col("x.n"), F.col("y.n")))
-        pairs = new_pairs(both.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
-        edges.append(cut_lineage(verify(pairs, sets, percent)))
-        break
-    linked = sets.sparkSession.createDataFrame([], "a binary, b binary")
-    for e in edges:
-        linked = linked.unionByName(e)
-    return components(linked)
-
-
-def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS, counters: int = SKETCH, keep: tuple[str, ...] = (), root: str | None = None) -> DataFrame:
+    labels = _labels(sets.select("id"), first_links)
+    spread = labels.groupBy("label").agg(F.count(F.lit(1)).alias("spread"))
+    index = cut_lineage(prefix_index(sets, percent, counters).join(labels.join(spread, "label"), "id"))
+    maps = [f(F.col("parity")[i]).alias(f"{name}{i}") for i in range(words) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    groups = index.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("spread").alias("spread"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"), *maps)
+    groups = cut_lineage(groups)
+    rows = groups.select("gid", "n", "low", "high", "spread", F.posexplode("tokens").alias("at", "token"), F.col("places"))
+    rows = rows.select("gid", "n", "low", "high", "spread", "token", "at", F.col("places")[F.col("at")].alias("place"))
+    # the label that most classes have anywhere stands for the commonest of a list
+    open_lists = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.max_by("low", F.struct("spread", "low")).alias("common")).filter("least <> most").select("token", "common")
+    live = cut_lineage(rows.select("gid", "token", "at", "place", "low", "high").join(open_lists, "token"))
+    whole = groups.select("gid", "n", "tokens", *(f"{name}{i}" for i in range(words) for name in ("all", "any")))
+    before = F.slice("tokens", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.lit(BEFORE), F.col("at")))
+    live = live.join(whole, "gid").withColumn("before", before).drop("tokens", "at")
+    other = live.filter((F.col("low") != F.col("common")) | (F.col("high") != F.col("common")))
+    apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
+    # of two that both aren't of the common label, each meets the other
+    once = (F.col("x.gid") < F.col("y.gid")) | ((F.col("y.low") == F.col("y.common")) & (F.col("y.high") == F.col("y.common")))
+    # of the hashes that two prefixes share, the first has none before it; a later one far from it may make the pair again
+    first = ~F.arrays_overlap("x.before", "y.before")
+    met = other.alias("x").join(live.alias("y"), (F.col("x.token") == F.col("y.token")) & once & (F.col("x.gid") != F.col("y.gid")) & may_link("x", "y") & apart & first & near_enough("x", "y"))
+    mixed = groups.filter("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    met = cut_lineage(met.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb")).distinct().unionByName(mixed))
+    members = index.select("id", "gid", "n", "label", F.coalesce(F.try_element_at("blocks", F.lit(1)), "id").alias("block"), *(F.col("parity")[i].alias(f"{name}{i}") for i in range(words) for name in ("all", "any")))
+    both = met.join(members.alias("x"), F.col("ga") == F.col("x.gid")).join(members.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & ((F.col("ga") != F.col("gb")) | (F.col("x.id") < F.col("y.id"))) & near_enough("x", "y"))
+    pairs = both.select(F.xxhash64(F.least("x.block", "y.block"), F.greatest("x.block", "y.block")).alias("block"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = cut_lineage(pairs)
+    return components(first_links.unionByName(cut_lineage(verify(pairs, sets, percent))))
+
+
+def _blocks(classes: DataFrame) -> DataFrame:
+    """classes(id, n, m0, m1) with blocks: of the groups with the same m0, and with the same m1, those with more than one member, in parts of bounded weight."""
+    weight = F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))
+    for k in (0, 1):
+        sums = classes.groupBy(f"m{k}").agg(F.count(F.lit(1)).alias(f"c{k}"), F.sum(weight).alias(f"w{k}"), F.bit_xor(F.xxhash64("id")).alias(f"f{k}")).filter(f"c{k} > 1")
+        # cut, so that the join under it is one whose large keys can be split
+        classes = classes.join(cut_lineage(sums), f"m{k}", "left")
+        parts = F.ceil(F.col(f"w{k}") / BLOCK_HASHES)
+        salt = F.pmod(F.xxhash64("id", F.lit(k)), parts)
+        classes = classes.withColumns({f"p{k}": parts, f"b{k}": F.when(F.col(f"c{k}") > 1, F.xxhash64(f"m{k}", salt, F.lit(k)))})
+    # the same members as in the first, together: nothing new to see
+    again = (F.col("f0") == F.col("f1")) & (F.col("c0") == F.col("c1")) & (F.col("p0") == 1)
+    return classes.select("id", "digest", "n", F.filter(F.array(F.col("b0"), F.when(~again, F.col("b1"))), lambda x: x.isNotNull()).alias("blocks"))
+
+
+def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, counters: int = SKETCH, keep: tuple[str, ...] = (), root: str | None = None, blocks: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and keep of every row.
 
     A component_id need not be one component's alone, as rows may share a doc_id or have none. With
-    root, a column of that name tells components apart (the digest of one class; null without words).
+    root, a column of that name tells components apart (null without words). Without blocks, all
+    links come from the index.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     sets = cut_lineage(sets_of(docs, size, keep))
-    classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
+    classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
     low = map_arrow(classes, lambda b: {"key": pa.array(np.array([_key(x) for x in b.column("digest").to_pylist()], np.uint64).view(np.int64))}, _fields("key long"))
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("c.n") * percent / 100) / 10))
-    left = cut_lineage(low.alias("c").join(screen(docs, size, percent).alias("s"), "key").filter(F.col("s.n") >= need).select("digest", "id", F.col("c.n").alias("n")))
+    left = low.alias("c").join(screen(docs, size, percent).alias("s"), "key").filter(F.col("s.n") >= need)
+    # numbers of their own, shorter than digests; fixed by being written
+    left = cut_lineage(left.select("digest", "least", F.col("c.n").alias("n"), "m0", "m1", F.monotonically_increasing_id().alias("id")))
     many = left.count()
 
     def full(texts: pa.Array) -> dict[str, pa.Array]:
         got = [(_digest(s), s.tobytes()) for s in shingle_sets(texts, size)]
         return {"digest": pa.array([x[0] for x in got], pa.binary()), "shingles": pa.array([x[1] for x in got], pa.binary())}
 
-    texts = maybe_in(docs, left.select("id"), many, full, "digest binary, shingles binary")
-    chosen = cut_lineage(left.select("digest", "n").join(texts, "digest").dropDuplicates(["digest"]))
-    found = linked_classes(chosen, percent, rounds, counters)
-    ids = classes.select("digest", "id").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
+    texts = maybe_in(docs, left.select(F.col("least").alias("id")), many, full, "digest binary, shingles binary")
+    chosen = cut_lineage(_blocks(left).join(texts, "digest").dropDuplicates(["digest"]).drop("digest"))
+    found = linked_classes(chosen, percent, counters, blocks)
+    numbered = left.select("digest", "id").join(found, F.col("id") == F.col("node")).select("digest", F.col("component").cast("string").alias("component"))
+    ids = classes.select("digest", "least").join(numbered, "digest", "left").withColumn("component", F.coalesce("component", F.hex("digest")))
+    least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     own = [F.col("component").alias(root)] if root else []
     roots = ids.join(least, "component").select("digest", "component_id", *own)
-    joined = sets.join(roots, "digest", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep, *([root] if root else []))
+    worded = sets.filter("n_shingles > 0").join(roots, "digest").drop("digest")
+    # texts without words would all meet at one key
+    wordless = sets.filter("n_shingles = 0").drop("digest").withColumns({"component_id": F.col("doc_id")} | ({root: F.lit(None).cast("string")} if root else {}))
+    return worded.unionByName(wordless).select("doc_id", "n_shingles", "component_id", *keep, *([root] if root else []))

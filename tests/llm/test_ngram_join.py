@@ -60,11 +60,11 @@ def corpus(seed):
     return [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(3, "twice the same id here now"), (3, texts[5])]
 
 
-@pytest.mark.parametrize("seed,rounds,counters", [(1, 3, 1 << 22), (2, 0, 256), (3, 1, 1 << 12)])
-def test_components_are_those_of_all_pairs(spark, seed, rounds, counters):
+@pytest.mark.parametrize("seed,blocks,counters", [(1, True, 1 << 22), (2, False, 256), (3, True, 1 << 12)])
+def test_components_are_those_of_all_pairs(spark, seed, blocks, counters):
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n_shingles int").repartition(5)
-    got = nj.ngram_components(df, rounds=rounds, counters=counters).collect()
+    got = nj.ngram_components(df, blocks=blocks, counters=counters).collect()
     assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(rows)
 
 
