@@ -16,7 +16,7 @@ of them is always faithful, so this ends.
 
 A null role or text counts as empty. Turns of equal number are ordered by role,
 then text; repeated rows are turns of their own; a null turn number comes first;
-a null conv_id is a conversation. An empty table gives an empty result. Other
+a null conv_id is a conversation; texts may be of any length. An empty table gives an empty result. Other
 columns are ignored.
 """
 

@@ -12,16 +12,16 @@ pattern holds moves it by m - B + 1. Where the shift is 0, the bucket of pattern
 whose first m bytes end in that block is compared directly. Patterns are grouped
 by length, so a short item doesn't shorten every shift.
 
-Items are searched in blocks of at most ``block_bytes`` of item text, each sent to
-the executors as one broadcast of that bounded size; hits of several blocks are
-united per document. Documents never leave their partition unless they have hits
+Items are searched in blocks of about ``block_bytes`` of item text, each sent to
+the executors as one broadcast; a block's tables take some 200 bytes for each byte of it in a
+Python worker. Hits of several blocks are united per document. Documents never leave their partition unless they have hits
 and there is more than one block.
 
 Null or wordless texts have no words and no hits; wordless items have no windows;
 a null item_id marks words but is not among the items; equal windows of several
-items count for each of them; repeated rows are judged each by itself; an empty
-table on either side gives documents without hits, or no rows. Other columns are
-ignored unless named in ``keep``.
+items count for each of them; repeated rows are judged each by itself; texts may be of any length; an empty
+table on either side gives documents without hits, or no rows. Other columns, whatever their names, are
+ignored unless named in ``keep`` (those called as a result's are replaced).
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import map_arrow
 
-WINDOW, MIN_PERCENT, BLOCK_BYTES = 13, 5, 8 << 20
+WINDOW, MIN_PERCENT, BLOCK_BYTES = 13, 5, 1 << 20
 #: Bytes that the search looks at together; lengths from which patterns are searched apart.
 SHIFT_BLOCK, LENGTH_CLASSES = 8, (0, 16, 40)
 
@@ -179,22 +179,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    base = docs.select(*dict.fromkeys([*keep, text]))
-    drop = [] if text in keep else [text]
+    names = tuple(dict.fromkeys([*keep, text]))
+    # by place, as the names of columns that are kept are anybody's
+    base = docs.select(*names).toDF(*(f"_{i}" for i in range(len(names))))
+    own = f"_{names.index(text)}"
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     # each block holds about block_bytes of items, whatever the size of the table
     read = lambda k: [(r[0], bytes(r[1])) for r in items.filter(part == k).collect()]
     if blocks == 1:
-        out = _search(base, read(0), window, text)
+        out = _search(base, read(0), window, own)
     else:
-        key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-        slim = base.select(key.alias("_key"), text)
-        each = [_search(slim, read(k), window, text).drop(text).filter("n_hit > 0").dropDuplicates(["_key"]) for k in range(blocks)]
+        # texts without words would all meet at one key
+        key = F.when(F.col(own).rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"), F.sha2(own, 256))
+        slim = base.select(key.alias("_key"), own).filter("_key IS NOT NULL")
+        each = [_search(slim, read(k), window, own).drop(own).filter("n_hit > 0").dropDuplicates(["_key"]) for k in range(blocks)]
         found = each[0]
         for x in each[1:]:
             found = found.unionByName(x)
         found = _unite(found.groupBy("_key").agg(F.first("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("items")).alias("items")))
-        counted = _search(base, [], window, text).drop("n_hit", "hit_spans", "items").withColumn("_key", key)
-        out = counted.join(found.drop("n_words"), "_key", "left").drop("_key")
+        counted = _search(base, [], window, own).drop("n_hit", "hit_spans", "items").withColumn("_key", key)
+        met = counted.filter("_key IS NOT NULL").join(found.drop("n_words"), "_key", "left")
+        out = met.unionByName(counted.filter("_key IS NULL"), allowMissingColumns=True).drop("_key")
         out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("hit_spans", F.coalesce("hit_spans", F.array().cast(_SPANS))).withColumn("items", F.coalesce("items", F.array().cast("array<bigint>")))
-    return out.drop(*drop).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * min_percent))
+    made = [name for name, _ in _HITS]
+    judged = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * min_percent))
+    return judged.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names) if c in keep and c not in (*made, "contaminated")), *made, "contaminated")

@@ -10,7 +10,9 @@ places behind an insertion or deletion. A fingerprint is the sorted set of
 with less total length: shared length / lesser total length.
 
 Null counts as empty; empty texts have an empty fingerprint, 1.0 alike to another
-empty one and 0.0 to all others; equal texts have equal fingerprints.
+empty one and 0.0 to all others; equal texts have equal fingerprints. Texts may be of any length; repeated rows are
+neighbours of each other; an empty table gives an empty result; other columns are ignored, or kept with
+``keep``.
 """
 
 from __future__ import annotations

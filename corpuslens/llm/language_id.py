@@ -11,43 +11,44 @@ Training sequences are code-switched on purpose: spans of training texts of
 different languages are joined, and every word carries its span's label, so that
 transitions are learned from switches as well as stays. Weights are fitted by
 gradient steps on the conditional log-likelihood, whose gradient comes from
-forward-backward, on a sample of bounded size (``per_language`` texts of each
-label, least hash of the text first). A text's prediction is the label with the greatest
-posterior mass over all of its words (forward-backward over the whole text); the
+forward-backward, on the whole texts of a sample (``per_language`` rows of each
+label, least hash of the text first; that is the only bound). A text's prediction is the label with the
+greatest posterior mass over all of its words (forward-backward over the whole text); the
 score is that share. Long texts are not cut: steps run over the words of many texts
 at once, longest first.
 
-A text that is null or has no letter is ``und`` with score 0. Words are runs of
-bytes of letters (ASCII letters, or beyond ASCII), lower-cased. Ties go to the first label in
+A text that is null or has no letter (of Unicode's categories of letters) is ``und`` with score 0. Words are
+runs of bytes of ASCII letters or of bytes beyond ASCII, lower-cased. Ties go to the first label in
 alphabetical order. Without labelled rows every text is ``und``. An empty table gives an empty
-result; repeated rows are judged each by itself.
+result; repeated rows are judged each by itself; other columns are ignored, or kept with ``keep`` (one
+called lang_pred or score is replaced).
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_view, map_arrow, mix64, release, scrambled, slices, strings
 
-#: Bounds of the training sample: texts per label, words per text, and labels.
-PER_LANGUAGE, TRAIN_WORDS, MOST_LABELS = 400, 400, 64
+#: Texts of the training sample for each label: the only bound.
+PER_LANGUAGE = 300
 #: Rows of the weight table, passes over the sample, words of a code-switched span at most.
 WEIGHTS, EPOCHS, SPAN_WORDS, STEP, DECAY = 1 << 16, 4, 12, 0.5, 1e-4
-#: Characters of a training text that are learned from, and slices they come in.
-SHOWN, SLICES = 4800, 8
 UND = "und"
 
 _LETTERS = np.array([b >= 0x80 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SEEDS = scrambled(8, 0x637266)
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +158,7 @@ class Crf:
                 mass[some] = np.add.reduceat(post, np.cumsum(counts[some]) - counts[some], axis=0) / counts[some][:, None]
             best = mass.argmax(1)
             for k in range(j - i):
-                known = bool(self.labels) and mass[k, best[k]] > 0 and _HAS_LETTER.search(texts[i + k].as_py())
+                known = bool(self.labels) and mass[k, best[k]] > 0 and has_letter(texts[i + k].as_py())
                 names.append(self.labels[best[k]] if known else UND)
                 scores.append(min(1.0, float(mass[k, best[k]])) if known else 0.0)
         return names, scores
@@ -171,34 +172,30 @@ def fit(samples: dict[str, list[str]], epochs: int = EPOCHS, step: float = STEP,
     if not n:
         return Crf(labels, weights, transitions)
     rng = np.random.default_rng(seed)
-    # the words of all texts, with rows of features, cut into spans
+    # the words of all texts as rows of features, and the spans that they are cut into
     spans: list[tuple[int, int]] = []
-    parts, label_of = [], []
-    total = 0
+    parts, total = [], 0
     for k, name in enumerate(labels):
         data, offsets = byte_view(pa.array(samples[name], pa.large_string()))
-        low, starts, ends, counts = words_of(data, offsets)
-        keep = np.concatenate([np.arange(a, a + min(c, TRAIN_WORDS)) for a, c in zip(np.cumsum(counts) - counts, counts, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        parts.append((low, starts[keep], ends[keep]))
-        at = total
-        for c in np.minimum(counts, TRAIN_WORDS).tolist():
-            a = 0
-            while a < c:
-                m = int(rng.integers(1, SPAN_WORDS + 1))
-                spans.append((at + a, at + min(c, a + m)))
-                a += m
-            at += c
-        total = at
-        label_of.append(np.full(len(keep), k))
-    shift = np.cumsum([0] + [len(p[0]) for p in parts])
-    low = np.concatenate([p[0] for p in parts])
-    starts = np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=False)])
-    ends = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=False)])
-    if not len(starts):
+        for i, j in slices(offsets, 1 << 20):
+            low, starts, ends, counts = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if not len(starts):
+                continue
+            rows = [x.astype(np.int32) for x in features(low, starts, ends)]  # bytes of a text become numbers for a slice at a time
+            parts.append((*rows, np.full(len(starts), k, np.int16)))
+            for c in counts.tolist():
+                at, end = total, total + c
+                while at < end:
+                    m = min(end, at + int(rng.integers(1, SPAN_WORDS + 1)))
+                    spans.append((at, m))
+                    at = m
+                total = end
+    if not total:
         return Crf(labels, weights, transitions)
-    fixed, tri, n_tri = features(low, starts, ends)
+    fixed, tri, n_tri, gold = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    n_tri = n_tri.astype(np.int64)
     first_tri = np.cumsum(n_tri) - n_tri
-    gold = np.concatenate(label_of)
     square, moved = np.full_like(weights, 1e-3), np.full_like(transitions, 1e-3)
     for _ in range(epochs):
         release()
@@ -238,28 +235,19 @@ def fit(samples: dict[str, list[str]], epochs: int = EPOCHS, step: float = STEP,
 
 
 def training_sample(docs: DataFrame, label: str = "lang", text: str = "text", per_label: int = PER_LANGUAGE) -> dict[str, list[str]]:
-    """About per_label texts (at most twice as many and 50) for each of at most MOST_LABELS labels.
-
-    Those of least hash are taken; equal texts count once. Of a text longer than
-    SHOWN characters, SLICES slices spread evenly over the whole of it are learned
-    from, so that the sample is bounded in bytes as well. Predictions use whole texts.
-    """
-    size = F.length(text)
-    piece = SHOWN // SLICES
-    cut = [F.substr(F.col(text), (F.floor(size * k / SLICES) + 1).cast("int"), F.lit(piece)) for k in range(SLICES)]
-    spread = F.concat_ws(" ", *(F.regexp_replace(c, r"^\S+\s|\s\S+$", " ") for c in cut))
+    """At most per_label whole texts of each label, those of least hash; equal texts count once."""
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
     near = F.lit(False)
-    for name, n in counts.items():
+    for name, n in rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02)).collect():
+        # about twice as many distinct texts as are needed lie below the limit
         share = (2.0 * per_label + 50) / n
         limit = 2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)
         near = near | ((F.col("label") == name) & (F.col("h") <= limit))
-    shown = F.when(size <= SHOWN, F.col(text)).otherwise(spread)
+    near_rows = rows.filter(near).groupBy("label", "h").agg(F.min("text").alias("t"))
+    least = near_rows.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))).filter(F.col("k") <= per_label)
     out: dict[str, list[str]] = {}
-    for name, _, t in sorted(rows.filter(near).select("label", "h", shown.alias("t")).groupBy("label", "h").agg(F.min("t").alias("t")).collect()):
-        if len(out.setdefault(name, [])) < per_label:
-            out[name].append(t)
+    for name, _, t in sorted(least.select("label", "h", "t").collect()):
+        out.setdefault(name, []).append(t)
     return out
 
 

@@ -10,15 +10,19 @@
    r_i <- max(0, r_i - s_i * <a_i, g / scale>), where s_i keeps the step stable.
    Only the residuals, one number for each domain, come to the driver each round;
    a document's rate is recomputed from the history of residuals by an expression,
-   so the table of memberships is written once and no rates are shuffled.
+   so the table of memberships is written once and no rates are shuffled. While rates are
+   fitted, tokens, memberships and rates are written anew every STEPS_HELD rounds, so that no more steps
+   than these are recomputed.
    The step is in the metric described at fit_rates.
 3. *Copies.* The rate's whole part, and one more with the probability of the rest,
    drawn from a hash of the document.
 
 All on DataFrame functions. Null texts have no tokens, the prior's memberships, and
 keep rate 1; documents without tokens are not moved by the fit. With an empty or
-unlabelled labelled table there is one domain, ``all``. An empty table gives an empty
-result; repeated rows are documents of their own.
+unlabelled labelled table there is one domain, ``all``. There is no bound on the number of domains but that of the
+rows that are learned from. Texts may be of any length. An empty table gives an empty
+result; repeated rows are documents of their own; other columns, whatever their names, are ignored, or
+kept with ``keep`` (those called n_tokens, domain, memberships, rate or copies are replaced).
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut_lineage
 
-#: Bounds: labelled rows that are learned from, hash buckets of words, domains.
-TRAIN_ROWS, BUCKETS, MOST_DOMAINS = 5_000, 4096, 16
-ROUNDS, TOLERANCE = 60, 1e-3
+#: Bounds: labelled rows that are learned from, hash buckets of words.
+TRAIN_ROWS, BUCKETS = 5_000, 4096
+#: Rounds at most, of which so many are recomputed for a document.
+ROUNDS, TOLERANCE, STEPS_HELD = 60, 1e-3, 10
 _SEPARATORS = r"[\s\p{Punct}]+"
 
 
@@ -106,8 +111,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, labels: list[str], text: s
     picked = known.groupBy("doc_id", "h").agg(F.min("domain").alias("domain")).orderBy("h", "doc_id").limit(rows).select("doc_id", "domain")
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
     tokens = texts.select("domain", F.explode(words(F.col("text"))).alias("w")).filter("w <> ''")
+    # at most a row for each different word of the sample and domain
     by_bucket = tokens.groupBy("domain", bucket(F.col("w"), buckets).alias("b")).count().collect()
-    sizes = {r[0]: r[1] for r in texts.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS).collect()}
+    sizes = {r[0]: r[1] for r in texts.groupBy("domain").count().collect()}
     if not sizes:
         return Domains(["all"], [0.0], [[]])
     names, everything = sorted(sizes), sum(sizes.values())
@@ -129,9 +135,10 @@ def memberships(docs: DataFrame, domains: Domains, text: str = "text") -> DataFr
     return docs.withColumns({"_tokens": tokens, "_p": domains.posteriors(F.col(text))})
 
 
-def _steps(tokens: Column, p: Column, history: list[list[float]]) -> Column:
-    """struct(r, y): a document's rate after the steps, and the point ahead of it for the next gradient."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def _steps(tokens: Column, p: Column, history: list[list[float]], start: Column | None = None) -> Column:
+    """struct(r, y): a document's rate after the steps (from start on), and the point ahead of it for the next gradient."""
+    if start is None:
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not history:
         return start
 
@@ -159,13 +166,20 @@ def fit_rates(member: DataFrame, targets: list[float], rounds: int = ROUNDS, tol
     targets out of reach let the residual stand still.
     """
     n = len(targets)
-    sums = member.agg(*(F.sum(F.col("_tokens") * F.col("_p")[i] * F.col("_p")[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(n))).first()
-    flat = [x or 0.0 for x in sums]
+    products = F.flatten(F.transform("_p", lambda x: F.transform("_p", lambda y: F.col("_tokens") * x * y)))
+    flat = [0.0] * (n * n)
+    for at, total in member.select(F.posexplode(products).alias("at", "v")).groupBy("at").agg(F.sum("v")).collect():
+        flat[at] = total or 0.0
     gram = [flat[i * n : (i + 1) * n] for i in range(n)]
     history: list[list[float]] = []
     enough, worst, age = tolerance * max(1.0, sum(targets)) / n, [], 0
+    slim, done = member.select("_tokens", "_p"), 0
     for _ in range(rounds):
-        at = member.select("_tokens", "_p", _steps(F.col("_tokens"), F.col("_p"), history).alias("s"))
+        start = F.struct(F.col("s.r").alias("r"), F.col("s.y").alias("y")) if done else None
+        at = slim.select("_tokens", "_p", _steps(F.col("_tokens"), F.col("_p"), history[done:], start).alias("s"))
+        if len(history) - done == STEPS_HELD:
+            at = slim = cut_lineage(at)
+            done = len(history)
         of = lambda k, i: F.sum(F.col("s")[k] * F.col("_tokens") * F.col("_p")[i]).alias(f"{k}{i}")
         got = [x or 0.0 for x in at.agg(*(of(k, i) for k in "ry" for i in range(n))).first()]
         worst.append(max(abs(x - t) for x, t in zip(got[:n], targets, strict=True)))
@@ -207,15 +221,17 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: list[str], weights: dict[s
     the tokens of docs.
     """
     domains = fit_domains(docs, labelled, labels, text, train_rows, buckets)
-    rows = docs.select(*dict.fromkeys([*keep, "doc_id", text])).withColumn("_hash", F.xxhash64("doc_id", text))
-    member = memberships(rows, domains, text)
+    names = tuple(dict.fromkeys([*keep, text]))
+    # by place, as the names of columns that are kept are anybody's
+    rows = docs.select(*names, F.xxhash64("doc_id", text)).toDF(*(f"_{i}" for i in range(len(names))), "_hash")
+    own = f"_{names.index(text)}"
+    member = memberships(rows, domains, own)
     # written once: a filter on rates would else pull the memberships into every step of every rate
-    kept = cut_lineage(member if text in keep else member.drop(text))
+    kept = cut_lineage(member if text in keep else member.drop(own))
     total = kept.agg(F.coalesce(F.sum("_tokens"), F.lit(0.0))).first()[0]
     history = fit_rates(kept, targets_of(domains, weights, tokens_kept * total))
-    r = rate(F.col("_tokens"), F.col("_p"), history)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
-    out = kept.withColumn("_rate", r)
+    out = kept.withColumn("_rate", rate(F.col("_tokens"), F.col("_p"), history))
     added = {
         "n_tokens": F.col("_tokens").cast("long"),
         "domain": F.element_at(F.array(*map(F.lit, domains.names)), best),
@@ -223,4 +239,4 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: list[str], weights: dict[s
         "rate": F.col("_rate"),
         "copies": copies(F.col("_rate"), F.col("_hash"), F.lit("")),
     }
-    return out.select(*(c for c in keep if c not in added), *(v.alias(k) for k, v in added.items()))
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names) if c in keep and c not in added), *(v.alias(k) for k, v in added.items()))

@@ -2,7 +2,10 @@
 
 All of it is built-in column functions. A pattern's matches and what lies between
 them come from ``regexp_extract_all`` and ``split`` on the same pattern, so places
-(code points, end exclusive) are sums of their lengths. Patterns are possessive
+(code points, end exclusive) are running sums of their lengths. These, and all that goes from one
+span to the next, are folded in pieces of about the square root of their number, as an
+array that grows by one is copied each time; parts of a text are taken from pieces of it, as a place in a
+text is found by walking to it. Patterns are possessive
 and start where a run of their characters starts, which gives the leftmost
 non-overlapping matches without retries inside a run.
 
@@ -24,8 +27,9 @@ A score is the kind's prior, plus what its checksum gives, plus a bonus if a
 context word of its kind stands within ``near`` characters before it.
 
 Null counts as an empty text, which has no spans; repeated rows are judged each by
-itself; an empty table gives an empty result; other columns are ignored, or kept
-with ``keep``.
+itself; texts may be of any length and hold any number of spans; an empty table gives an empty
+result; other columns, whatever their names, are ignored, or kept with ``keep`` (one called spans is
+replaced).
 """
 
 from __future__ import annotations
@@ -67,24 +71,57 @@ CONTEXT = {
 }
 PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.4, "phone": 0.6, "iban": 0.4, "local_phone": 0.3}
 CHECKED, BONUS, THRESHOLD, NEAR = 0.4, 0.3, 0.6, 40
+#: Characters of the pieces of a text.
+PIECE = 1024
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(xs: Column, start: Column, step) -> Column:
+    """The state after each element: start, then step(state, element), in pieces of about the square root of the size."""
+
+    def of(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.greatest(F.size(xs), F.lit(1)))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice(xs, i * size + 1, size))
+        none = F.slice(F.array(start), 1, 0)
+
+        def inner(last: Column, part: Column) -> Column:
+            grow = lambda a, x: let(step(a["last"], x), lambda v: F.struct(v.alias("last"), F.concat(a["out"], F.array(v)).alias("out")))
+            return F.aggregate(part, F.struct(last.alias("last"), none.alias("out")), grow)
+
+        outer = lambda a, part: let(inner(a["last"], part), lambda r: F.struct(r["last"].alias("last"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(parts, F.struct(start.alias("last"), F.slice(F.array(none), 1, 0).alias("out")), outer, lambda a: F.flatten(a["out"]))
+
+    return let(xs, of)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part(of: Column, start: Column, length: Column) -> Column:
+    """So many characters from start (0: the first) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    few = F.array_join(F.slice(of, first + 1, (F.floor((start + length) / PIECE) - first + 1).cast("int")), "")
+    return F.substr(few, (start % PIECE + 1).cast("int"), length.cast("int"))
 
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the matches of a pattern."""
-    p = F.lit(pattern)
-    values, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found"))
+    values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # zip_with pads the values, of which there is one less than of the gaps
+    pairs = F.zip_with(between, values, lambda gap, value: F.struct(F.length(gap).cast("bigint").alias("gap"), value.alias("value")))
+    found = F.filter(pairs, lambda x: x["value"].isNotNull())
 
-    def add(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        span = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), pair["value"].alias("value"))
-        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+    def placed(found: Column) -> Column:
+        ends = running(found, F.lit(0).cast("bigint"), lambda at, x: at + x["gap"] + F.length(x["value"]))
+        return F.zip_with(found, ends, lambda x, end: F.struct((end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value")))
 
-    # zip_with pads the values, of which there is one less than of the gaps
-    pairs = F.filter(F.zip_with(between, values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))), lambda x: x["value"].isNotNull())
-    return F.aggregate(pairs, start, add, lambda acc: acc["found"])
+    return let(found, placed)
 
 
 def digits(value: Column) -> Column:
@@ -106,8 +143,8 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
-def ibans(text: Column) -> Column:
-    """Confirmed account numbers, leftmost first and apart: array<struct<start, end, value>>."""
+def ibans(text: Column, cut: Column) -> Column:
+    """Confirmed account numbers of a text (cut: its pieces), leftmost first and apart: array<struct<start, end, value>>."""
 
     def last_end(rest: Column) -> Column:
         most = F.length(F.regexp_extract(rest, IBAN_RUN, 0))
@@ -119,14 +156,16 @@ def ibans(text: Column) -> Column:
         return F.array_max(F.transform(passing, lambda e: F.struct((bare(e) == fixed).alias("fixed"), e.alias("e"))))["e"]
 
     def whole(x: Column) -> Column:
-        rest = F.substr(text, (x["start"] + 1).cast("int"), F.lit(IBAN_MOST))
+        rest = part(cut, x["start"], F.lit(IBAN_MOST))
         # bound once, as each use would cut it again
-        n = F.transform(F.array(rest), last_end)[0]
-        return F.transform(F.array(n), lambda k: F.struct(x["start"].alias("start"), (x["start"] + k).alias("end"), F.substr(text, (x["start"] + 1).cast("int"), k).alias("value")))[0]
+        return let(rest, lambda r: let(last_end(r), lambda k: F.struct(x["start"].alias("start"), (x["start"] + k).alias("end"), F.substr(r, F.lit(1), k).alias("value"))))
+
+    def apart(found: Column) -> Column:
+        """Those that begin where the last of those before has ended."""
+        ends = running(found, F.lit(0).cast("bigint"), lambda at, x: F.when(x["start"] >= at, x["end"]).otherwise(at))
+        return let(ends, lambda ends: F.filter(found, lambda x, i: (i == 0) | (x["start"] >= F.element_at(ends, F.greatest(i, F.lit(1))))))
 
-    found = F.filter(F.transform(located(text, PATTERNS["iban"]), whole), lambda x: x["end"].isNotNull())
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    return F.aggregate(found, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x))).otherwise(acc))
+    return let(F.filter(F.transform(located(text, PATTERNS["iban"]), whole), lambda x: x["end"].isNotNull()), apart)
 
 
 def confirmed(kind: str, value: Column) -> Column:
@@ -141,29 +180,49 @@ def confirmed(kind: str, value: Column) -> Column:
 
 def kind_spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: array<struct<start, rank, end, kind, score>>."""
-    found = ibans(text) if kind == "iban" else F.filter(located(text, PATTERNS[kind]), lambda x: confirmed(kind, x["value"]))
     words = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{CONTEXT[kind]})(?![\p{{L}}\p{{N}}])"
 
-    def scored(x: Column) -> Column:
-        before = F.substr(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
-        score = F.lit(PRIOR[kind] + (CHECKED if kind in ("card", "iban", "ip") else 0)) + F.when(before.rlike(words), BONUS).otherwise(0.0)
-        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+    def spans(cut: Column) -> Column:
+        found = ibans(text, cut) if kind == "iban" else F.filter(located(text, PATTERNS[kind]), lambda x: confirmed(kind, x["value"]))
+
+        def scored(x: Column) -> Column:
+            before = part(cut, F.greatest(x["start"] - NEAR, F.lit(0)), F.least(x["start"], F.lit(NEAR)))
+            score = F.lit(PRIOR[kind] + (CHECKED if kind in ("card", "iban", "ip") else 0)) + F.when(before.rlike(words), BONUS).otherwise(0.0)
+            return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+
+        return F.transform(found, scored)
 
-    spans = F.transform(found, scored)
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")
     may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    return F.when(may & F.regexp_like(text, F.lit(PATTERNS[kind])), spans).otherwise(none)
+    return F.when(may & F.regexp_like(text, F.lit(PATTERNS[kind])), let(pieces(text), spans)).otherwise(none)
+
+
+def free_spans(base: Column, added: Column) -> Column:
+    """All base spans and those added ones that overlap none of them, by start, then kind."""
+    edge = F.lit(2**62)
+
+    def kept(xs: Column) -> Column:
+        is_base = lambda x: x["rank"] < len(BASE)
+        # the furthest end of base spans up to each, and the least start of those from it on
+        reach = running(xs, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, F.when(is_base(x), x["end"]).otherwise(0)))
+        ahead = F.reverse(running(F.reverse(xs), edge, lambda a, x: F.least(a, F.when(is_base(x), x["start"]).otherwise(edge))))
+        both = F.arrays_zip(xs.alias("x"), reach.alias("reach"), ahead.alias("ahead"))
+        return F.transform(F.filter(both, lambda y: is_base(y["x"]) | ((y["reach"] <= y["x"]["start"]) & (y["ahead"] >= y["x"]["end"]))), lambda y: y["x"])
+
+    merged = F.array_sort(F.concat(base, added))
+    return F.when(F.size(added) > 0, let(merged, kept)).otherwise(merged)
 
 
 def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """keep and spans (start, rank, end, kind, score; by start, then kind) per row."""
+    names = tuple(dict.fromkeys([*keep, text]))
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*(kind_spans(t, k) for k in BASE))
     added = F.filter(F.concat(*(kind_spans(t, k) for k in ADDED)), lambda x: x["score"] >= threshold)
-    both = docs.select(*dict.fromkeys([*keep, text]), base.alias("_base"), added.alias("_added"))
-    free = F.filter("_added", lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    out = both.withColumn("spans", F.array_sort(F.concat("_base", free))).drop("_base", "_added")
-    return out if text in keep else out.drop(text)
+    # by place, as the names of columns that are kept are anybody's
+    both = docs.select(*names, base, added).toDF(*(f"_{i}" for i in range(len(names))), "_base", "_added")
+    out = [F.col(f"_{i}").alias(c) for i, c in enumerate(names) if c in keep and c != "spans"]
+    return both.select(*out, free_spans(F.col("_base"), F.col("_added")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -173,12 +232,18 @@ def listed(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by its first kind in angle brackets."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def put(acc: Column, x: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = x["start"] >= acc["at"]
-        mark = F.when(new, F.concat(gap, F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+    def of(cut: Column) -> Column:
+        # where the spans before and including each have ended
+        reach = running(spans, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x["end"]))
+
+        def put(reach: Column) -> Column:
+            before = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.element_at(reach, F.greatest(i, F.lit(1))))
+            mark = lambda x, at: F.when(x["start"] >= at, F.concat(part(cut, at, x["start"] - at), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+            marks = F.transform(spans, lambda x, i: let(before(i), lambda at: mark(x, at)))
+            last = F.element_at(reach, -1)
+            return F.concat(F.array_join(marks, ""), part(cut, last, F.length(text) - last))
+
+        return let(reach, put)
 
-    return F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    return F.when(F.size(spans) > 0, let(pieces(text), of)).otherwise(text)

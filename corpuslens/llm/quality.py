@@ -13,7 +13,8 @@ The training sample is bounded: at most ``TRAIN_ROWS`` labelled rows, those of
 least hash. Labels of one document that disagree count as 1 if any is 1. Without
 labels, or with labels of one kind only, all scores are that share (0.5 without).
 Null counts as an empty text and is scored like one. An empty table gives an empty
-result; repeated rows are scored each by itself.
+result; repeated rows are scored each by itself; texts may be of any length; other columns are ignored, or kept
+with ``keep`` (one called score is replaced).
 """
 
 from __future__ import annotations

@@ -22,12 +22,14 @@ with a smaller doc_id. Three passes, none of which holds the corpus:
 Skew: a task keeps, of equal segments, only those of their smallest document and
 decides the others by itself. Anchors with more occurrences than a bucket should
 hold are dealt out by whole window instead of by anchor, again after the task kept
-only the smallest document's of each window. Their list is broadcast; by the choice
-of the threshold it has at most ``HOT_PER_BUCKET`` entries a bucket.
+only the smallest document's of each window; the windows are sorted by the same rounds. Their list is
+broadcast; by the choice of the threshold it has at most ``HOT_PER_BUCKET`` entries a bucket.
+Buckets grow in number with the bytes that are read. Round files lie in a task's own folder and go with
+it; a task that is lost makes them anew.
 
 Null texts are empty; a null doc_id counts as larger than all others; rows that
 share a doc_id don't cover each other; texts shorter than ``length`` lose nothing;
-an empty table gives an empty result. Other columns are ignored.
+texts may be of any length; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,12 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import cut_lineage
-from .common import byte_view, map_arrow, mix64, release, scrambled, slices
+from .common import buckets_of, byte_view, map_arrow, mix64, release, scrambled, slices
 
 LENGTH, GRAM = 50, 24
 #: Anchors and segments that a task holds at once; bits of the broadcast filter at most; least count of a hot anchor.
 ANCHORS_HELD, HELD, BLOOM_BITS, HOT_LEAST, HOT_PER_BUCKET = 1_000_000, 100_000, 1 << 28, 4096, 100
 LAST = 2**63 - 1
+#: Bytes of input for each bucket.
+BUCKET_BYTES = 16 << 20
 
 _VALUE = scrambled(256, 0x736166)
 _BASE = 0x9E3779B97F4A7C15
@@ -301,7 +305,7 @@ def _reply(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray
 
 def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits: int) -> DataFrame:
     """key, mark, start, end: covered runs of bytes of docs(key, mark, text), overlaps included."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    buckets = buckets_of(docs, BUCKET_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, buckets, length, gram, hot_least, most_bits))
     side = length - gram
     width = gram + 2 * side
@@ -351,17 +355,21 @@ def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits:
             i, c = np.nonzero(ok)
             tag, d, m, p = tags[ok], doc[warm][i], mark[warm][i], place[warm][i] + c
             order = np.lexsort((p, d, tag))
-            new = np.concatenate(([True], tag[order][1:] != tag[order][:-1])) if len(order) else np.zeros(0, bool)
             if len(order):
+                # bytes of the windows, compared as they are; the hash only orders them and says where they go
+                cut = np.lib.stride_tricks.sliding_window_view(seg, length, axis=1)[i, c]
+                words = np.zeros((len(order), -(-length // 8)), np.uint64)
+                words.view(np.uint8)[:, :length] = cut
+                new = np.concatenate(([True], (words[order][1:] != words[order][:-1]).any(1)))
                 sure = local(order, new, d)
                 known.append((d[sure], m[sure], p[sure], p[sure] + length))
                 rest = order[~sure[order]]
                 # a window that two hot anchors share is sent once
-                same = np.concatenate(([False], (tag[rest][1:] == tag[rest][:-1]) & (d[rest][1:] == d[rest][:-1]) & (m[rest][1:] == m[rest][:-1]) & (p[rest][1:] == p[rest][:-1])))
+                same = np.concatenate(([False], (words[rest][1:] == words[rest][:-1]).all(1) & (d[rest][1:] == d[rest][:-1]) & (m[rest][1:] == m[rest][:-1]) & (p[rest][1:] == p[rest][:-1])))
                 rest = rest[~same]
                 for b, i in dealt(tag[rest], buckets):
                     i = rest[i]
-                    rows.append(row(b, 1, tag[i].tobytes(), d[i], m[i], p[i]))
+                    rows.append(row(b, 1, cut[i].tobytes(), d[i], m[i], p[i]))
         if known:
             d, m, s, e = (np.concatenate(x) for x in zip(*known, strict=True))
             (d, m), s, e = united([d, m], s, e)
@@ -417,10 +425,10 @@ def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits:
                     yield _reply(d[ok], m[ok], base + s[ok], base + e[ok])
                 d, m, p = parts[1]
                 if len(d):
-                    tag = join(segments, np.uint64, 1)
-                    order = np.argsort(tag, kind="stable")
-                    at, n = runs(tag[order])
-                    ok = order[d[order] > np.repeat(np.minimum.reduceat(d[order], at), n)]
+                    # segments of one window each, sorted and compared as the others are
+                    seg = join(segments, np.uint8, 1).reshape(-1, length)
+                    s, e = covered_windows(seg, d, np.zeros(len(d), np.int64), np.full(len(d), length), length)
+                    ok = e > s
                     yield _reply(d[ok], m[ok], p[ok], p[ok] + length)
                 d, m, p = parts[2]
                 if len(d):
@@ -465,5 +473,3 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     fields = [("n_bytes", T.LongType()), ("removed", _SPANS), ("kept", T.BinaryType())]
     return map_arrow(rows.join(found, ["key", "mark"], "left"), cut, fields, drop=("key", "mark", "text", "found"))
-
-

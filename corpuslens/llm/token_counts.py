@@ -1,30 +1,35 @@
 """Token counts by overlap resynchronisation.
 
-A text longer than ``chunk_chars`` is cut into chunks that overlap. Every chunk
-is encoded by itself, giving tokens and their byte offsets. Neighbours are
-spliced at a boundary inside the overlap that is *proven stable*: a place where
-a character other than white space is followed by white space. The tokenizer's
-splitting pattern has no alternative that crosses such a place, so any scan that
-starts before it starts a new piece there, and from there on two scans agree.
-The offsets of both chunks must show a token boundary at that place and the same
-tokens behind it, as far as the left chunk is not disturbed by its own end; else
-the overlap is doubled and both are encoded again, until it is found or the text
-ends. Counts therefore equal those of encoding the text in one go.
+A text longer than ``chunk_chars`` is cut into chunks that overlap, and each is scanned by
+itself from its own start, whatever stands there, giving tokens and their byte offsets. Two
+neighbouring scans are spliced where they have come to agree: at a *proven stable* place,
+of which the overlap must show two. Such a place is the end of a run of letters or of numbers, or of
+other characters before white space; the tokenizer's splitting pattern has no alternative that goes
+on across it, so any scan that comes to it starts a new piece there. Both scans must show a token
+boundary at either place and equal tokens between them; else (a special string
+over it, one long run) the overlap is doubled and scanned again, until they agree or the text
+ends. Counts therefore equal those of encoding the text in one go. Each character is
+encoded once, and those of overlaps twice.
+
+Runs of white space of any length are taken out before the engine sees them (its regular expression
+holds a place for each character of a run): all but the last character is one piece if anything follows, by the
+same pattern.
 
 Nulls count as empty texts; empty texts have 0 tokens; repeated rows are counted
-each by itself; an empty table gives an empty result; other columns are ignored
-(or kept, with ``keep``).
+each by itself; texts may be of any length (one of a single run of letters is one chunk); an empty table gives an
+empty result; other columns are ignored (or kept, with ``keep``; one called n_bytes, n_tokens or over_limit is
+replaced).
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,7 +38,13 @@ from .common import map_arrow, strings
 #: A text of more characters is cut; the first overlap between chunks.
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 256
 
-_STABLE = re.compile(r"\S(?=\s)")
+#: Characters that the splitting pattern takes as white space.
+SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: A run of so much white space doesn't go through the engine's regular expression.
+LONG_RUN = 4096
+
+_STABLE = regex.compile(rf"\p{{L}}(?=\P{{L}})|\p{{N}}(?=\P{{N}})|[^\p{{L}}\p{{N}}{SPACE}](?=[{SPACE}])")
+_LONG = regex.compile(rf"[{SPACE}]{{{LONG_RUN},}}+")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -44,6 +55,20 @@ def _byte_alphabet() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _check(spec: dict) -> None:
+    """Raises unless the file's rules are those that are followed here."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and not spec.get("normalizer")
+    plain = plain and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain = plain and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and not any(t.get(x) for t in spec["added_tokens"] for x in ("single_word", "lstrip", "rstrip"))
+    if not plain:
+        raise ValueError("a byte-level BPE with its usual pattern, without a normalizer and other extras, is needed")
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError("ids are to follow the order of merges")
+
+
 class ByteBpe:
     """Ids and byte lengths of the tokens of a text, for a byte-level BPE.
 
@@ -62,8 +87,7 @@ class ByteBpe:
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
-            if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
-                raise ValueError("a byte-level BPE without a normalizer is needed")
+            _check(spec)
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
             of = _byte_alphabet()
             ranks = {bytes(of[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
@@ -79,6 +103,18 @@ class ByteBpe:
             self.lengths[i] = len(tok.encode())
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of a text's tokens, scanned from its first character on."""
+        parts, at = [], 0
+        for m in _LONG.finditer(text):
+            # the last character goes with what follows, unless that is a special string, before which the text ends
+            last = m.end() < len(text) and not any(text.startswith(x, m.end()) for x in self.allowed)
+            parts += [self._scan(text[at : m.start()]), self.encoding._encode_single_piece(text[m.start() : m.end() - last])]
+            at = m.end() - last
+        if not parts:
+            return self._scan(text)
+        return np.concatenate([np.asarray(x, np.int64) for x in [*parts, self._scan(text[at:])]])
+
+    def _scan(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
@@ -91,43 +127,54 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _boundary(text: str, lo: int, hi: int) -> int | None:
-    """The middle-most stable place in [lo, hi): characters before it end a piece."""
-    places = [m.end() for m in _STABLE.finditer(text, lo, hi)]
-    return places[len(places) // 2] if places else None
+def _splice(text: str, start: int, cut: int, end: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int, int, int] | None:
+    """How many tokens of the left scan (from start) and of the right one (from cut) lie before the first place that both show, and before the last.
+
+    Both scans know the text from cut to end. None: they don't show their agreement.
+    """
+    before = len(text[start:cut].encode())
+    places, at, last = [], before, cut
+    for m in _STABLE.finditer(text, cut, max(cut, end)):
+        at += len(text[last : m.end()].encode())
+        last = m.end()
+        places.append(at)
+    places = np.array(places, np.int64)
+    known = [np.searchsorted(x, places) for x in (left, right + before)]
+    both = np.ones(len(places), bool)
+    for x, k in zip((left, right + before), known, strict=True):
+        both &= (k < len(x)) & (x[np.minimum(k, len(x) - 1)] == places)
+    at = np.flatnonzero(both)
+    return (int(known[0][at[0]]) + 1, int(known[1][at[0]]) + 1, int(known[0][at[-1]]) + 1, int(known[1][at[-1]]) + 1) if len(at) > 1 else None
 
 
 def encode_spliced(bpe: ByteBpe, text: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> np.ndarray:
     """Ids of the tokens of a text, from overlapping chunks."""
-    n = len(text)
-    if n <= chunk_chars + overlap_chars:
+    # a special string over a place is to be seen whole by the scan from the left
+    reach = max([1, *map(len, bpe.allowed)])
+    n, chunk = len(text), max(chunk_chars, reach, 2)
+    if n <= chunk + overlap_chars:
         return bpe.encode(text)
-    parts, start = [], 0
-    chunk = max(chunk_chars, 2)
-    while True:
+    parts: list[np.ndarray] = []
+    start, done, left_end = 0, 0, chunk + overlap_chars
+    left = bpe.encode(text[:left_end])
+    while left_end < n:
         cut, overlap = start + chunk, overlap_chars
         while True:
             end = cut + overlap
-            if end >= n:
-                parts.append(bpe.encode(text[start:]))
-                return np.concatenate(parts)
-            # the left chunk's last characters are left out: its end may disturb them
-            at = _boundary(text, cut, end - overlap // 4)
-            if at is not None:
-                left = bpe.encode(text[start:end])
-                right = bpe.encode(text[at:end])
-                upto = len(text[start:at].encode())
-                ends = bpe.ends(left)
-                k = int(np.searchsorted(ends, upto))
-                if k < len(left) and ends[k] == upto:
-                    tail, m = left[k + 1 :], 0
-                    m = min(len(tail), len(right))
-                    same = m and np.array_equal(tail[: m // 2], right[: m // 2])
-                    if same or m == 0:
-                        parts.append(left[: k + 1])
-                        start = at
-                        break
+            if end > left_end:
+                left_end = min(end, n)
+                left = bpe.encode(text[start:left_end])
+                if left_end == n:
+                    break
+            right_end = min(n, end + chunk)
+            right = bpe.encode(text[cut:right_end])
+            found = _splice(text, start, cut, end - reach + 1, bpe.ends(left), bpe.ends(right))
+            if found and np.array_equal(left[found[0] : found[2]], right[found[1] : found[3]]):
+                parts.append(left[done : found[0]])
+                start, done, left, left_end = cut, found[1], right, right_end
+                break
             overlap *= 2
+    return np.concatenate([*parts, left[done:]])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:

@@ -101,3 +101,66 @@ def test_figures_do_not_depend_on_the_batch():
     assert np.allclose(together, np.concatenate([ql.figures(pa.array([t])) for t in texts]))
     k = ql.FIGURES.index
     assert together[3, k("repeated_lines")] == 1 / 5 and together[5, k("echoed_words")] == 0.5
+
+
+def test_letters_and_many_languages(spark):
+    r = random.Random(3)
+    names = [f"l{k:03d}" for k in range(100)]
+    word = lambda k: "".join(chr(97 + (k * 7 + r.randrange(3)) % 26) for _ in range(3)) + chr(97 + k // 26) + chr(97 + k % 26)
+    rows = [(k * 4 + j, " ".join(word(k) for _ in range(40)), n) for k, n in enumerate(names) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = lid.training_sample(df)
+    assert sorted(sample) == names and all(len(x) == 4 for x in sample.values())
+    model = lid.fit(sample, epochs=6)
+    got = model.predict(pa.array([t for _, t, _ in rows]))[0]
+    assert sum(a == n for a, (_, _, n) in zip(got, rows)) > 380
+    # numerals are no letters
+    assert model.predict(pa.array(["½ ² ①", "Ⅷ Ⅸ", "12 ١"])) == (["und"] * 3, [0.0] * 3)
+
+
+def test_training_texts_are_whole_and_copies_count_once(spark):
+    long = "x " * 50_000 + "omega"
+    df = spark.createDataFrame([(i, "same text", "a") for i in range(500)] + [(900, long, "a"), (901, None, "a"), (902, "12", "a"), (903, "b", None)], "doc_id long, text string, lang string")
+    assert {k: sorted(v, key=len) for k, v in lid.training_sample(df, per_label=5).items()} == {"a": ["same text", long]}
+
+
+def test_additive_scores_trees_and_quadrants_by_brute_force():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=600) > 0).astype(float)
+    model = ql.fit(x, y)
+    assert model.pairs
+    got = model.score(x[:50])
+    for row, s in zip(x[:50], got):
+        bins = [sum(1 for c in cuts if c <= v) for v, cuts in zip(row, model.cuts)]
+        z = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+        coarse = [b * ql.PAIR_BINS // (len(c) + 1) for b, c in zip(bins, model.cuts)]
+        z += sum(t[coarse[i]][coarse[j]] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+    def value(g, h):
+        return g.sum() / (h.sum() + 1)
+
+    def gain(g, h):
+        return g.sum() ** 2 / (h.sum() + 1)
+
+    for _ in range(20):
+        g, h, n = rng.normal(size=9) * 5, rng.random(9) * 9, rng.integers(0, 30, 9)
+        leaves = [(0, 9)]
+        while len(leaves) < ql.LEAVES:
+            cuts = [(gain(g[a:k], h[a:k]) + gain(g[k:b], h[k:b]) - gain(g[a:b], h[a:b]), a, b, k) for a, b in leaves for k in range(a + 1, b) if min(n[a:k].sum(), n[k:b].sum()) >= ql.LEAST_ROWS]
+            if not cuts or max(cuts)[0] <= 1e-9:
+                break
+            _, a, b, k = max(cuts)
+            leaves = [x for x in leaves if x != (a, b)] + [(a, k), (k, b)]
+        want = np.zeros(9)
+        for a, b in leaves:
+            want[a:b] = value(g[a:b], h[a:b])
+        assert np.allclose(ql._tree(g, h, n), want)
+        g, h = rng.normal(size=(6, 6)), rng.random((6, 6))
+        parts = lambda i, j: [(r, c) for r in (slice(0, i), slice(i, 6)) for c in (slice(0, j), slice(j, 6))]
+        best = max((sum(gain(g[p], h[p]) for p in parts(i, j)), i, j) for i in range(1, 6) for j in range(1, 6))
+        got_gain, table = ql._quadrants(g, h)
+        assert np.isclose(got_gain, best[0] - gain(g, h))
+        for p in parts(*best[1:]):
+            assert np.allclose(table[p], value(g[p], h[p]))

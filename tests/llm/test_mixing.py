@@ -79,3 +79,14 @@ def test_without_labels_or_rows(spark, corpus):
     got = mixing.mix(docs, labels.limit(0), ["quality", "toxic"], {}, 0.5).collect()
     assert {x.domain for x in got} == {"all"} and all(abs(x.rate - 0.5) < 1e-3 for x in got if x.n_tokens)
     assert mixing.mix(docs.limit(0), labels, ["quality", "toxic"], WEIGHTS).count() == 0
+
+
+def test_forty_domains_and_clashing_names(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice([f"word{i % 40}", "of"]) for _ in range(30)), 1, 2, 3, 4) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tokens int, _p int, _hash int, _0 int")
+    labels = spark.createDataFrame([(i, i % 40) for i in range(400)], "doc_id long, kind int")
+    got = mixing.mix(docs, labels, ["kind"], {f"kind={k}": 1 / 40 for k in range(40)}, 0.5, keep=("doc_id", "_tokens", "_p", "_hash", "_0")).collect()
+    assert all((x._tokens, x._p, x._hash, x._0) == (1, 2, 3, 4) and len(x.memberships) == 40 for x in got)
+    assert sum(x.domain == f"kind={x.doc_id % 40}" for x in got) > 380
+    assert abs(sum(x.rate * x.n_tokens for x in got) / sum(x.n_tokens for x in got) - 0.5) < 0.01

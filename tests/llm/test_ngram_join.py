@@ -10,11 +10,11 @@ import pytest
 from corpuslens.llm import ngram_join as nj
 
 
-def brute(rows):
+def brute(rows, size=4, percent=85):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     root = list(range(len(rows)))
 
     def find(i):
@@ -25,7 +25,7 @@ def brute(rows):
     for i, x in enumerate(sets):
         for j in range(i):
             both = len(x & sets[j])
-            if both and 100 * both >= 85 * len(x | sets[j]):
+            if both and 100 * both >= percent * len(x | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):

@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     assert one.columns == docs.columns
     assert {x[0] for x in held(one)} == {d for d, _, _ in rows + copies + odd} - {300, 301, 302}
     two = s2(spark, one, str(tmp_path)).cache()
-    stays = {d for d, _, c in brute(held(one)) if d == c}
+    stays = {d for d, _, c in brute(held(one), 5, 80) if d == c}
     assert two.columns == docs.columns and [x[0] for x in held(two)] == sorted(stays)
     three = s3(spark, two, str(tmp_path)).cache()
     gone = {d for d, t in held(two) if (lambda n, hit, _: hit and 20 * hit >= n)(*brute_hits(t, list(enumerate(items)), 13))}
@@ -58,3 +58,31 @@ def test_components_that_share_an_id_or_have_none(spark, tmp_path):
     kept_c = [t for _, t in got if t.startswith(c)]
     assert len(kept_c) == 1
     assert got == sorted([(5, a), (5, b), (-1, kept_c[0]), (-1, d), (3, e + " more"), (-1, ""), (5, "")])
+
+
+def test_columns_of_any_name_go_through(spark, tmp_path):
+    r = random.Random(8)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    base = words(80)
+    rows = [(1, base, "m1", 7, "d", 0.25, 3), (2, base + " more", "m2", 7, "d", 0.25, 3), (3, words(50), "m3", 7, "d", 0.25, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _tag int, domain string, rate double, _p int")
+    spark.createDataFrame([(1, words(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    two = cp.near_copies(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, two.collect())) == [rows[0], rows[2]] and two.columns == docs.columns
+    four = cp.without_pii(spark, cp.decontaminated(spark, two, str(tmp_path)), str(tmp_path))
+    assert sorted(map(tuple, four.collect())) == [rows[0], rows[2]] and four.columns == docs.columns
+    five = cp.mixture(spark, four, str(tmp_path))
+    assert five.columns == ["doc_id", "text", "_id", "_tag", "domain_given", "rate_given", "_p", "domain", "rate", "copy_no"]
+    assert all((x.domain_given, x.rate_given, x._tag, x._p) == ("d", 0.25, 7, 3) for x in five.collect())
+
+
+def test_near_copies_share_five_words_and_80_percent(spark, tmp_path):
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(208)]
+    # 4 words changed, apart: 20 of 204 shingles differ, 184 of 224 are shared (82 percent); of four-word ones 189 of 221 (85.5)
+    at = [30, 80, 130, 180]
+    near = [w + "x" if i in at else w for i, w in enumerate(base)]
+    far = [w + "x" if i in [*at, 10] else w for i, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far[100:] + base[:40]))], "doc_id long, text string")
+    assert sorted(x.doc_id for x in cp.near_copies(spark, docs, str(tmp_path)).collect()) == [1, 3]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import chat_format, decontaminate, fingerprints, pii, token_counts
@@ -204,3 +205,87 @@ def test_plain_texts_are_not_escaped():
     assert s[spans[0][0] : spans[0][1]] == "d"
     with pytest.raises(chat_format.GrammarError):
         chat_format.parse("[INST] a </s> [/INST]")
+
+
+def test_runs_of_white_space_and_overlaps_that_widen(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), token_counts.tokenizer(path)
+    count = lambda s: lib.encode(s, add_special_tokens=False).ids
+    for s in ("x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a" + "\t" * 5000 + "<|endoftext|>" + " " * 5000 + "b"):
+        assert token_counts.encode_spliced(own, s).tolist() == count(s)
+    # the overlaps of 4 characters hold no two places that both scans show: special strings lie over them, or one run
+    scans = []
+    encode = own.encode
+    own.encode = lambda text: scans.append(text) or encode(text)
+    try:
+        for s in ("ab" * 40 + " c, d, e, f" * 9, "<|endoftext|>" * 20 + "a b c d " * 9, "a b, " * 60):
+            scans.clear()
+            assert token_counts.encode_spliced(own, s, 16, 4).tolist() == count(s)
+            # a chunk that was scanned again is longer than it was
+            assert any(len(y) > len(x) and y.startswith(x) for x, y in zip(scans, scans[2:]))
+    finally:
+        own.encode = encode
+    rows = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_tokens int, over_limit int")
+    assert token_counts.token_counts(rows, path, keep=("doc_id", "n_tokens", "over_limit")).first().asDict() == {"doc_id": 1, "n_bytes": 3, "n_tokens": 2, "over_limit": False}
+
+
+def test_files_with_other_rules_are_refused(tmp_path):
+    plain = {"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2, "ba": 3}, "merges": [["a", "b"], ["b", "a"]]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "normalizer": None, "added_tokens": []}
+    token_counts._check(plain)
+    other = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"content": "x", "lstrip": True}]}, {"model": plain["model"] | {"ignore_merges": True}}, {"model": plain["model"] | {"merges": [["b", "a"], ["a", "b"]]}}]
+    for x in other:
+        with pytest.raises(ValueError):
+            token_counts._check(plain | x)
+
+
+def test_pii_of_many_spans_and_clashing_names(spark):
+    n = 20_000
+    text = "".join(f"mail us{i}@ex{i}.com call 555-123-{1000 + i % 9000} or " for i in range(n))
+    rows = spark.createDataFrame([(1, text, 5, 6, 7)], "doc_id long, text string, _base int, _added int, _0 int")
+    x = pii.find_pii(rows, keep=("doc_id", "_base", "_added", "_0")).first()
+    assert (x._base, x._added, x._0) == (5, 6, 7)
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in x.spans if s.kind in pii.BASE] == brute_base(text)
+    assert [(s.start, s.end) for s in x.spans if s.kind == "local_phone"] == [m.span() for m in re.finditer(r"555-123-\d{4}", text)]
+
+
+def test_fingerprints_by_brute_force():
+    f = fingerprints
+    r = random.Random(21)
+    texts = ["".join(r.choice("abcdefgh \né") for _ in range(r.choice([0, 3, 31, 32, 33, 500, 4000]))) for _ in range(40)] + ["a" * 3000, ""]
+    sets = f.chunk_sets(pa.array(texts, pa.large_string()))
+    plain = []
+    for t in texts:
+        raw, chunks, start = t.encode(), {}, 0
+        while start < len(raw):
+            end = min(len(raw), start + f.LARGEST)
+            for at in range(start + f.SMALLEST, end):
+                # a hash ends with the byte before the boundary; it takes 32 bytes, of this text where a chunk is that long
+                h = sum(int(f._GEAR[raw[at - 1 - k]]) << k for k in range(min(32, at))) % (1 << 32)
+                if h < 1 << (32 - (f.STRICT_BITS if at < start + f.NORMAL else f.LOOSE_BITS)):
+                    end = at
+                    break
+            chunks[hashlib.blake2b(raw[start:end], digest_size=f._DIGEST_BYTES).digest()] = end - start
+            start = end
+        plain.append(chunks)
+    assert sets == plain
+    for a, b in zip(plain, plain[1:]):
+        shared = sum(n for d, n in a.items() if d in b)
+        assert f.containment(a, b) == (shared / min(sum(a.values()), sum(b.values())) if a and b else float(a == b))
+
+
+def test_decontamination_in_blocks_with_clashing_names(spark):
+    r = random.Random(31)
+    word = lambda: r.choice(["ab", "cd", "é", "x1", "zz"])
+    items = [(i, " ".join(word() for _ in range(r.choice([0, 3, 13, 30])))) for i in range(40)]
+    texts = [" ".join(word() for _ in range(40)) + " " + items[i % 40][1] for i in range(60)] + [None, "", "?!", None]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, _key int, _0 int, n_hit int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    keep = ("doc_id", "_key", "_0", "n_hit")
+    key = lambda x: (x.doc_id, x._key, x._0, x.n_words, x.n_hit, sorted(x["items"]), x.contaminated)
+    one, many = (sorted(map(key, decontaminate.decontaminate(df, bench, keep=keep, block_bytes=b).collect())) for b in (1 << 20, 500))
+    assert one == many and len(one) == len(texts)
+    for d, k, z, n, hit, found, _ in one:
+        assert (k, z) == (1, 2) and (n, hit) == brute_hits(texts[d], items, 13)[:2]
