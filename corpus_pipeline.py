@@ -7,11 +7,13 @@ Parquet into the shared folder (``spark.checkpoint.dir``) and reads it again.
 1. language: documents without a predicted language, or of less than MIN_SHARE of one, go.
 2. near_copies: of each component of the n-gram Jaccard join, the document of least id
    stays (a null id is no one's least; of equal ids one text); documents without words are
-   no one's copies.
+   no one's copies. As near-duplicate stages do, it takes five words and 80 percent; the four words and
+   85 percent of op9's contract bind that query only.
 3. decontaminate: contaminated documents go.
 4. pii: personal data in texts becomes ``<KIND>``; n_chars, if there, follows.
 5. mix: each document comes as often as its rate says (copy_no from 1), with its
-   likeliest domain and rate.
+   likeliest domain and rate. Columns of documents called domain, rate or copy_no get ``_given`` behind
+   their names.
 
 Null texts have no language and go in stage 1. Rows that are equal in doc_id and
 text are one document from stage 2 on; of rows that share an id and are near
@@ -32,6 +34,8 @@ from corpuslens.operators.graph import cut_lineage, ensure_checkpoint_dir
 
 #: Least posterior share of the predicted language; most ids to leave out that are broadcast (8 bytes each).
 MIN_SHARE, MOST_BROADCAST = 0.5, 1_000_000
+#: Words of a shingle, and percent of the union that near copies share.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, str, tuple[str, ...]]:
@@ -50,23 +54,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = cut_lineage(ngram_join.ngram_components(docs.withColumn("_tag", tag), keep=("_tag",), root="_root"))
-    keys = ["_id", "_tag"]
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_tag": tag})
-    identity = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id")
+    rows, text, names = _aside(docs)
+    doc_id, keys = names[docs.columns.index("doc_id")], ["_id", "_tag"]
+    # a null id is above all others
+    keyed = rows.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "_tag": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    asked = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keys)
+    found = cut_lineage(ngram_join.ngram_components(asked, NEAR_WORDS, NEAR_PERCENT, keep=tuple(keys), root="_root"))
     # by the root, as a component_id may stand for several components
-    worded = found.filter("n_shingles > 0").select("_root", identity, "_tag")
+    worded = found.filter("n_shingles > 0").select("_root", *keys)
     chosen = worded.groupBy("_root").agg(F.min(F.struct(*keys)).alias("_one")).select("_one.*")
-    gone = worded.select(*keys).distinct().join(chosen, keys, "left_anti")
-    gone = cut_lineage(gone)
+    gone = cut_lineage(worded.select(*keys).distinct().join(chosen, keys, "left_anti"))
     few = gone.count() <= MOST_BROADCAST
     out = keyed.join(F.broadcast(gone) if few else gone, keys, "left_anti")
     # rows given twice
-    again = found.groupBy(identity, "_tag").count().filter("count > 1").join(gone, keys, "left_anti").select(*keys)
+    again = found.groupBy(*keys).count().filter("count > 1").join(gone, keys, "left_anti").select(*keys)
     if not again.isEmpty():
         out = out.dropDuplicates(keys)
-    return out.select(*docs.columns)
+    return out.select(*names).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,10 +92,12 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    extra = [c for c in docs.columns if c not in ("domain", "rate", "copies", "copy_no", "memberships", "n_tokens")]
-    mixed = mixing.mix(docs, labels, ["quality", "toxic"], MIXTURE, MIXTURE_SIZE, keep=tuple(extra))
+    rows, text, names = _aside(docs)
+    rows = rows.withColumn("doc_id", F.col(names[docs.columns.index("doc_id")]))
+    mixed = mixing.mix(rows, labels, ["quality", "toxic"], MIXTURE, MIXTURE_SIZE, text=text, keep=names)
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.filter("copies > 0").select(*extra, "domain", "rate", times.alias("copy_no"))
+    given = [F.col(n).alias(f"{c}_given" if c in ("domain", "rate", "copy_no") else c) for n, c in zip(names, docs.columns, strict=True)]
+    return mixed.filter("copies > 0").select(*given, "domain", "rate", times.alias("copy_no"))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", decontaminated), ("pii", without_pii), ("mix", mixture)]
