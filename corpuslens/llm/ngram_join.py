@@ -52,8 +52,10 @@ from .common import buckets_of, byte_view, map_arrow, mix64, release, scrambled,
 SIZE, PERCENT = 4, 85
 #: Counters of the frequency sketch and bits of the Bloom filter: bounds of what is broadcast.
 SKETCH, BLOOM_BITS = 1 << 22, 1 << 28
-#: Bits of a set's parity map, and how many preceding hashes of a prefix an index row carries.
-PARITY_BITS, BEFORE = 1024, 16
+#: Bits of a set's parity map, and how many of the preceding hashes of a prefix an index row carries.
+PARITY_BITS, BEFORE = 1024, 8
+#: Words of a map that index rows carry: the whole map folded, which is a map of fewer bits.
+FOLDED = 4
 #: Hashes that a screening task holds before it sends them on.
 HELD = 1_000_000
 #: Hashes of a block (a set counts as at least LEAST_WEIGHT), and columns of its matrix that are multiplied at once.
@@ -448,7 +450,7 @@ def _labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 def linked_classes(sets: DataFrame, percent: int = PERCENT, counters: int = SKETCH, blocks: bool = True) -> DataFrame:
     """(node, component) over sets(id, n, blocks, shingles), of those that link with another."""
-    words = PARITY_BITS // 64
+    whole_words = PARITY_BITS // 64
     first_links = cut_lineage(block_links(sets if blocks else sets.limit(0), percent))
 
     def overlap(n, m):  # least intersection of linked sets of sizes n and m
@@ -460,7 +462,12 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, counters: int = SKET
         rest = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= overlap(n, m))
 
-    def near_enough(x: str, y: str):
+    def maps(words: int) -> list:
+        """all and any of the members' maps, folded to so many words."""
+        fold = lambda i: F.aggregate(F.slice("parity", 1 + i, PARITY_BITS // 64 - i), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("k")), lambda a, x: F.struct(F.when(a["k"] % words == 0, a["v"].bitwiseXOR(x)).otherwise(a["v"]).alias("v"), (a["k"] + 1).alias("k")), lambda a: a["v"])
+        return [fold(i).alias(f"map{i}") for i in range(words)]
+
+    def near_enough(x: str, y: str, words: int):
         """Whether the bits that surely differ (all of x's maps have them, none of y's, or the other way round) are no more than linked sets differ in."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         apart = sum(F.bit_count(F.col(f"{x}.all{i}").bitwiseAND(F.bitwise_not(f"{y}.any{i}")).bitwiseOR(F.col(f"{y}.all{i}").bitwiseAND(F.bitwise_not(f"{x}.any{i}")))) for i in range(words))
@@ -469,15 +476,16 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, counters: int = SKET
     labels = _labels(sets.select("id"), first_links)
     spread = labels.groupBy("label").agg(F.count(F.lit(1)).alias("spread"))
     index = cut_lineage(prefix_index(sets, percent, counters).join(labels.join(spread, "label"), "id"))
-    maps = [f(F.col("parity")[i]).alias(f"{name}{i}") for i in range(words) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
-    groups = index.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("spread").alias("spread"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"), *maps)
+    bounds = [f(f"map{i}").alias(f"{name}{i}") for i in range(FOLDED) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    folded = index.select("*", *maps(FOLDED))
+    groups = folded.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("spread").alias("spread"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"), *bounds)
     groups = cut_lineage(groups)
     rows = groups.select("gid", "n", "low", "high", "spread", F.posexplode("tokens").alias("at", "token"), F.col("places"))
     rows = rows.select("gid", "n", "low", "high", "spread", "token", "at", F.col("places")[F.col("at")].alias("place"))
     # the label that most classes have anywhere stands for the commonest of a list
     open_lists = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.max_by("low", F.struct("spread", "low")).alias("common")).filter("least <> most").select("token", "common")
     live = cut_lineage(rows.select("gid", "token", "at", "place", "low", "high").join(open_lists, "token"))
-    whole = groups.select("gid", "n", "tokens", *(f"{name}{i}" for i in range(words) for name in ("all", "any")))
+    whole = groups.select("gid", "n", "tokens", *(f"{name}{i}" for i in range(FOLDED) for name in ("all", "any")))
     before = F.slice("tokens", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.lit(BEFORE), F.col("at")))
     live = live.join(whole, "gid").withColumn("before", before).drop("tokens", "at")
     other = live.filter((F.col("low") != F.col("common")) | (F.col("high") != F.col("common")))
@@ -486,11 +494,11 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, counters: int = SKET
     once = (F.col("x.gid") < F.col("y.gid")) | ((F.col("y.low") == F.col("y.common")) & (F.col("y.high") == F.col("y.common")))
     # of the hashes that two prefixes share, the first has none before it; a later one far from it may make the pair again
     first = ~F.arrays_overlap("x.before", "y.before")
-    met = other.alias("x").join(live.alias("y"), (F.col("x.token") == F.col("y.token")) & once & (F.col("x.gid") != F.col("y.gid")) & may_link("x", "y") & apart & first & near_enough("x", "y"))
+    met = other.alias("x").join(live.alias("y"), (F.col("x.token") == F.col("y.token")) & once & (F.col("x.gid") != F.col("y.gid")) & may_link("x", "y") & apart & first & near_enough("x", "y", FOLDED))
     mixed = groups.filter("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     met = cut_lineage(met.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb")).distinct().unionByName(mixed))
-    members = index.select("id", "gid", "n", "label", F.coalesce(F.try_element_at("blocks", F.lit(1)), "id").alias("block"), *(F.col("parity")[i].alias(f"{name}{i}") for i in range(words) for name in ("all", "any")))
-    both = met.join(members.alias("x"), F.col("ga") == F.col("x.gid")).join(members.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & ((F.col("ga") != F.col("gb")) | (F.col("x.id") < F.col("y.id"))) & near_enough("x", "y"))
+    members = index.select("id", "gid", "n", "label", F.coalesce(F.try_element_at("blocks", F.lit(1)), "id").alias("block"), *(F.col("parity")[i].alias(f"{name}{i}") for i in range(whole_words) for name in ("all", "any")))
+    both = met.join(members.alias("x"), F.col("ga") == F.col("x.gid")).join(members.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & ((F.col("ga") != F.col("gb")) | (F.col("x.id") < F.col("y.id"))) & near_enough("x", "y", whole_words))
     pairs = both.select(F.xxhash64(F.least("x.block", "y.block"), F.greatest("x.block", "y.block")).alias("block"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     pairs = cut_lineage(pairs)
     return components(first_links.unionByName(cut_lineage(verify(pairs, sets, percent))))
