@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import holds_word, is_alias_candidate, normalise_mention, pieces, shares_significant, significant, slugify, tokens, whole_word
-from .graph import components
+from .graph import components, cut_lineage
 
 SIMILARITY, LEAST_COUNT, ANCHOR_COUNT, DOMINANCE, LEAST_TITLES, MAX_WORDS = 85, 3, 5, 2.0, 2, 4
 
@@ -158,34 +158,33 @@ def dominant_owners(counted: DataFrame, ratio: float = DOMINANCE, least: int = L
 def merge_coref(clusters: DataFrame, resolved: DataFrame) -> DataFrame:
     """clusters with the titles of resolved(pos, title, owners) that have one owner.
 
-    A title joins the first cluster (by pos) that its owner names or is an alias of, and its own
-    cluster, if any, goes. Titles that dissolve clusters, or are owners of others, are
-    taken one by one in order, as later ones see earlier merges; that list is a dictionary of
-    titles, of a size that the driver holds as the rule itself is sequential.
+    A title joins the first cluster (by pos) that has its owner as a member, and a cluster that is named by the
+    title goes then. Titles count in order of pos, later ones seeing what earlier ones did. That only matters
+    to a title whose owner is an earlier title, or a member of a cluster that an earlier one may
+    remove; so each round takes all titles that wait for none of those left, at the same time.
     """
-    one = resolved.filter(F.size("owners") == 1).select("pos", "title", F.col("owners")[0].alias("owner"))
-    members = clusters.select("pos", "canonical", F.explode(F.array_distinct(F.concat(F.array("canonical"), F.col("aliases")))).alias("name"))
-    sequential = one.join(clusters.select(F.col("canonical").alias("title")), "title", "left_semi").unionByName(one.join(one.select(F.col("title").alias("owner")).distinct(), "owner", "left_semi").select("pos", "title", "owner")).limit(1).count()
-    if sequential:
-        return _merge_in_order(clusters, one)
-    target = one.join(members.groupBy(F.col("name").alias("owner")).agg(F.min_by("canonical", "pos").alias("canonical")), "owner")
-    added = target.groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("pos", "title"))).alias("t"))
-    out = clusters.join(added, "canonical", "left")
+    left = resolved.filter(F.size("owners") == 1).select("pos", "title", F.col("owners")[0].alias("owner"))
+    members = clusters.select("canonical", F.col("pos").alias("place"), F.explode(F.array_distinct(F.concat(F.array("canonical"), F.col("aliases")))).alias("name"))
+    joined = left.select(F.col("pos").alias("at"), "title", F.col("owner").alias("canonical")).limit(0)
+    gone = left.select(F.col("title").alias("canonical")).limit(0)
+    left, members = cut_lineage(left), cut_lineage(members)
+    while not left.isEmpty():
+        earlier = left.select(F.col("pos").alias("before"), F.col("title").alias("other"))
+        by_title = left.join(earlier, (F.col("owner") == F.col("other")) & (F.col("before") < F.col("pos"))).select("pos")
+        by_cluster = left.join(members, F.col("owner") == F.col("name")).join(earlier, (F.col("canonical") == F.col("other")) & (F.col("before") < F.col("pos"))).select("pos")
+        ready = cut_lineage(left.join(by_title.unionByName(by_cluster).distinct(), "pos", "left_anti"))
+        target = ready.join(members, F.col("owner") == F.col("name")).groupBy("pos", "title").agg(F.min_by("canonical", "place").alias("canonical"), F.min("place").alias("place"))
+        target = cut_lineage(target)
+        removed = target.filter(F.col("title") != F.col("canonical")).select(F.col("title").alias("canonical")).distinct()
+        grown = members.unionByName(target.select("canonical", "place", F.col("title").alias("name"))).distinct()
+        members = cut_lineage(grown.join(removed, "canonical", "left_anti"))
+        joined = joined.unionByName(target.select(F.col("pos").alias("at"), "title", "canonical"))
+        gone = gone.unionByName(removed)
+        left = cut_lineage(left.join(ready.select("pos"), "pos", "left_anti"))
+    added = joined.groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("at", "title"))).alias("t"))
     new = F.coalesce(F.transform("t", lambda x: x["title"]), F.array().cast("array<string>"))
-    return out.select("pos", "canonical", F.array_distinct(F.concat("aliases", new)).alias("aliases"))
-
-
-def _merge_in_order(clusters: DataFrame, one: DataFrame) -> DataFrame:
-    held = {r["canonical"]: (r["pos"], list(r["aliases"])) for r in clusters.orderBy("pos").collect()}
-    for _, title, owner in one.orderBy("pos").collect():
-        into = next((c for c, (_, names) in held.items() if owner == c or owner in names), None)
-        if into is None:
-            continue
-        if title not in held[into][1]:
-            held[into][1].append(title)
-        if title != into:
-            held.pop(title, None)
-    return clusters.sparkSession.createDataFrame([(p, c, a) for c, (p, a) in held.items()], clusters.select("pos", "canonical", "aliases").schema)
+    kept = clusters.join(gone.distinct(), "canonical", "left_anti").join(added, "canonical", "left")
+    return kept.select("pos", "canonical", F.when(F.size(new) > 0, F.array_distinct(F.concat("aliases", new))).otherwise(F.col("aliases")).alias("aliases"))
 
 
 def claim_single_words(clusters: DataFrame) -> DataFrame:
@@ -203,24 +202,19 @@ def claim_single_words(clusters: DataFrame) -> DataFrame:
 def to_entities(clusters: DataFrame) -> DataFrame:
     """(pos, char_id, label, aliases): slugs as ids, with _2, _3, ... where taken; names without a slug go.
 
-    A suffixed id may itself be another name's slug; such chains are resolved in order of pos.
+    A suffixed id may itself be another name's slug. Of several that ask for one id the first by pos
+    gets it, and the others ask for their next one, until all differ; since the same order holds for every id,
+    that is what giving them out one after the other would lead to. The n-th of a slug asks for its n-th id first.
     """
     slugged = clusters.withColumn("slug", slugify(F.col("canonical"))).filter("slug <> ''")
     n = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    named = slugged.withColumn("n", n).withColumn("char_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("n").cast("string"))))
-    taken = named.groupBy("char_id").count().filter("count > 1")
-    if taken.isEmpty():
-        return named.select("pos", "char_id", F.col("canonical").alias("label"), "aliases")
-    # the slugs involved are those of the same stem: settle them as the sequence demands
-    used: set[str] = set()
-    rows = []
-    for r in slugged.orderBy("pos").select("pos", "slug", "canonical", "aliases").collect():
-        char_id, i = r["slug"], 2
-        while char_id in used:
-            char_id, i = f"{r['slug']}_{i}", i + 1
-        used.add(char_id)
-        rows.append((r["pos"], char_id, r["canonical"], r["aliases"]))
-    return clusters.sparkSession.createDataFrame(rows, "pos long, char_id string, label string, aliases array<string>")
+    asked = F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("n").cast("string")))
+    named = slugged.withColumn("n", n)
+    while True:
+        named = cut_lineage(named.withColumn("char_id", asked).withColumn("turn", F.row_number().over(Window.partitionBy("char_id").orderBy("pos"))))
+        if named.filter("turn > 1").isEmpty():
+            return named.select("pos", "char_id", F.col("canonical").alias("label"), "aliases")
+        named = named.withColumn("n", F.col("n") + (F.col("turn") > 1).cast("int")).drop("char_id", "turn")
 
 
 def apply_overrides(entities: DataFrame, drops: DataFrame, merges: DataFrame) -> DataFrame:
@@ -269,8 +263,10 @@ def tag_characters(chunks: DataFrame, entities: DataFrame, text: str = "text", k
     tried, once the text has joined all it may hold. Aliases without a token are few and tried on every chunk.
     """
     aliases = alias_table(entities)
-    words = F.transform(F.array(tokens(F.col(text))), lambda w: F.array_distinct(F.concat(w, _adjacent(w))))[0]
-    keyed = chunks.select(key, (~F.regexp_like(F.lower(text), F.lit(ODD_WORDS))).alias("plain"), F.explode(words).alias("key_"))
+    # both come out of the generator, so that no exploded row holds a text
+    marked = F.struct(tokens(F.col(text)).alias("w"), (~F.regexp_like(F.lower(text), F.lit(ODD_WORDS))).alias("plain"))
+    words = F.transform(F.array(marked), lambda m: F.transform(F.array_distinct(F.concat(m["w"], _adjacent(m["w"]))), lambda w: F.struct(m["plain"].alias("plain"), w.alias("key_"))))[0]
+    keyed = chunks.select(key, F.explode(words).alias("_k")).select(key, "_k.plain", "_k.key_")
     may = keyed.join(aliases.filter("key IS NOT NULL").withColumnRenamed("key", "key_"), "key_")
     sure = F.col("plain") & (F.lower("alias") == F.col("key_")) & ~F.contains("key_", F.lit(" "))
     unsure = may.filter(~sure).groupBy(key).agg(F.collect_set(F.struct("char_id", "alias")).alias("_may"))
@@ -289,7 +285,7 @@ def tag_characters(chunks: DataFrame, entities: DataFrame, text: str = "text", k
 def cluster_totals(clusters: DataFrame, counts: DataFrame) -> DataFrame:
     """(canonical, total): summed mentions of each cluster's aliases, most first; unknown ones count 0."""
     names = clusters.select("pos", "canonical", F.explode("aliases").alias("name"))
-    return names.join(counts.select("name", "cnt"), "name", "left").groupBy("pos", "canonical").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("total")).select("pos", "canonical", "total")
+    return names.join(counts.select("name", "cnt"), "name", "left").groupBy("pos", "canonical").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("total")).orderBy(F.desc("total"), "pos")
 
 
 def merge_summary(before: DataFrame, after: DataFrame, drops: DataFrame) -> DataFrame:
@@ -298,5 +294,3 @@ def merge_summary(before: DataFrame, after: DataFrame, drops: DataFrame) -> Data
     m = after.agg(F.count(F.lit(1)).alias("after"))
     d = before.join(drops.select("char_id").distinct(), "char_id", "left_semi").agg(F.count(F.lit(1)).alias("dropped"))
     return n.join(F.broadcast(m)).join(F.broadcast(d)).withColumn("merged", F.col("before") - F.col("after") - F.col("dropped"))
-
-

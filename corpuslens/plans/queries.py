@@ -478,7 +478,7 @@ def alias_pairs(spark, sf_dir):
 _LCS = """list_reduce(string_split(x.w, ''), lambda p, c: list_reduce(range(1, length(y.w) + 1), lambda r, j: list_append(r, CASE WHEN y.w[j] = c THEN coalesce(p[j - 1], 0) + 1 ELSE greatest(p[j], coalesce(r[j - 1], 0)) END), []::BIGINT[]), list_transform(range(0, length(y.w)), lambda z: 0::BIGINT))[-1]"""
 _SQL_PAIRS = rf"""{_SQL_MENTIONS},
 n AS (SELECT row_number() OVER (ORDER BY cnt DESC, name) - 1 AS pos, name, cnt, lower(name) AS w, list_distinct(string_split(lower(name), ' ')) AS words,
-  len(list_filter(list_distinct(string_split(lower(name), ' ')), lambda v: NOT list_contains({_sql_list(tx.TITLES)}, v))) AS sig FROM c QUALIFY pos < 400),
+  len(list_filter(list_distinct(string_split(lower(name), ' ')), lambda v: NOT list_contains({_sql_list(tx.TITLES)}, v))) AS sig FROM c),
 k AS (SELECT * FROM n WHERE cnt >= 3),
 pairs AS (
   SELECT x.name AS a, y.name AS b FROM k x JOIN k y ON x.pos < y.pos
@@ -487,7 +487,7 @@ pairs AS (
   UNION ALL
   SELECT x.name, y.name FROM k x JOIN k y ON x.pos < y.pos
   WHERE len(x.words) = 1 AND len(y.words) = 1 AND 200.0 * least(length(x.w), length(y.w)) / (length(x.w) + length(y.w)) >= 85
-    AND 200.0 * {_LCS} / (length(x.w) + length(y.w)) >= 85
+    AND CASE WHEN strlen(x.w) = length(x.w) AND strlen(y.w) = length(y.w) AND levenshtein(x.w, y.w) > 0.15 * (length(x.w) + length(y.w)) THEN false ELSE 200.0 * {_LCS} / (length(x.w) + length(y.w)) >= 85 END
 )"""
 SQL["alias_pairs"] = f"WITH {_SQL_PAIRS} SELECT a, b FROM pairs"
 
@@ -511,7 +511,7 @@ def tag_characters(spark, sf_dir):
 
 
 SQL["tag_characters"] = rf"""WITH {_SQL_MENTIONS},
-n AS (SELECT name, row_number() OVER (ORDER BY cnt DESC, name) AS pos FROM c QUALIFY pos <= 40),
+n AS (SELECT name, row_number() OVER (ORDER BY cnt DESC, name) AS pos FROM c),
 s AS (SELECT name, pos, regexp_replace(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_ ]', '', 'g'), ' +', '_', 'g') AS slug FROM n),
 i AS (SELECT name, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY pos) = 1 THEN slug ELSE slug || '_' || row_number() OVER (PARTITION BY slug ORDER BY pos) END AS char_id FROM s),
 t AS (SELECT doc_id, ' ' || lower(text) || ' ' AS low, regexp_replace(' ' || lower(text) || ' ', '[^\p{{L}}\p{{N}}_]', ' ', 'g') AS bare FROM documents),
@@ -582,7 +582,7 @@ def cluster_totals(spark, sf_dir):
     return entities.cluster_totals(c, counts).select("canonical", "total")
 
 
-SQL["cluster_totals"] = f"WITH {_SQL_MENTIONS}, n AS (SELECT name, cnt, row_number() OVER (ORDER BY cnt DESC, name) - 1 AS pos FROM c QUALIFY pos < 400) SELECT name AS canonical, cnt AS total FROM n WHERE pos % 10 = 0"
+SQL["cluster_totals"] = f"WITH {_SQL_MENTIONS}, n AS (SELECT name, cnt, row_number() OVER (ORDER BY cnt DESC, name) - 1 AS pos FROM c) SELECT name AS canonical, cnt AS total FROM n"
 
 
 def coref_titles(spark, sf_dir):

@@ -32,7 +32,7 @@ def sub_findings(subs: DataFrame, candidates: DataFrame, answer=None) -> DataFra
     some = asked.join(flat.select(F.col("query_id").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("query_id"), F.col("sub_question").alias("text"))
     more = {} if answer is None else {"answer": answer}
     found = synthesise(some, flat, **more).withColumnRenamed("query_id", "key")
-    none = F.struct(F.concat(F.lit("No passages retrieved for: "), F.col("sub_question")).alias("answer"), F.array(F.lit(NO_EVIDENCE)).alias("source_ids"), F.lit(1).alias("conviction"), F.array(F.concat(F.lit("No candidates retrieved for sub-question: "), F.col("sub_question"))).alias("gaps"))
+    none = F.struct(F.concat(F.lit("Nothing in the corpus speaks to: "), F.col("sub_question")).alias("answer"), F.array(F.lit(NO_EVIDENCE)).alias("source_ids"), F.lit(1).alias("conviction"), F.array(F.concat(F.lit("without evidence: "), F.col("sub_question"))).alias("gaps"))
     return asked.join(found, "key", "left").select("query_id", "sub_no", "sub_question", F.coalesce("finding", none).alias("finding"))
 
 
@@ -56,7 +56,7 @@ def report(queries: DataFrame, subs: DataFrame, candidates: DataFrame, aggregate
     ids = checked_citations(resolve_citations(numbers, merged.withColumnRenamed("number", "rank")))
     whole = real.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("sub_no", "finding"))).alias("f")).select("query_id", aggregate(F.col("f")).alias("a"))
     out = queries.select("query_id").join(counts, "query_id", "left").join(whole, "query_id", "left").join(ids, "query_id", "left")
-    nothing = "No passages were found for any of the planned sub-questions. Strict-RAG can't ground an answer without evidence."
+    nothing = "The corpus holds no passage on any part of this question, so it is left open."
     gaps = F.transform(F.sequence(F.lit(0), F.col("n_sub").cast("int") - 1), lambda i: F.concat(F.lit("sub-question "), i.cast("string"), F.lit(": no passages")))
     return out.select(
         "query_id",

@@ -83,11 +83,11 @@ def test_fusion(spark):
 
 
 def test_rewrite(spark):
-    vocab = rewrite.vocabulary(docs(spark, ["conjunctivitis harbour harry potter", "voldemar harbor"]))
-    got = rewrite.rewrite(asked(spark, "Conjuncatvitus!", "xy zz", "zzzzzzzzz", "harry, potter!", "harbopr", "voldermar " + "q" * 80, ""), vocab).orderBy("query_id").collect()
-    assert [x.rewritten for x in got] == ["conjunctivitis", "xy zz", "zzzzzzzzz", "harry potter", "harbour", "voldemar " + "q" * 80, ""] or got[4].rewritten in ("harbour", "harbor")
-    assert [tuple(c) for c in got[0].corrections] == [("conjuncatvitus", "conjunctivitis")]
-    assert rewrite.rewrite(asked(spark, "voldermar"), vocab, cutoff=99).first().rewritten == "voldermar"
+    vocab = rewrite.vocabulary(docs(spark, ["thunderstorm harbour steam whistle", "gasometer harbor"]))
+    got = rewrite.rewrite(asked(spark, "Thnudersotrm!", "ab qq", "zzzzzzzzz", "steam, whistle!", "harbopr", "gasommeter " + "q" * 80, ""), vocab).orderBy("query_id").collect()
+    assert [x.rewritten for x in got] == ["thunderstorm", "ab qq", "zzzzzzzzz", "steam whistle", "harbour", "gasometer " + "q" * 80, ""] or got[4].rewritten in ("harbour", "harbor")
+    assert [tuple(c) for c in got[0].corrections] == [("thnudersotrm", "thunderstorm")]
+    assert rewrite.rewrite(asked(spark, "gasommeter"), vocab, cutoff=99).first().rewritten == "gasommeter"
     r = random.Random(3)
     words = sorted({"".join(r.choice("abcdé") for _ in range(r.randint(3, 12))) for _ in range(300)})
     bad = ["".join(r.choice("abcdé") for _ in range(r.randint(5, 70))) for _ in range(40)]
