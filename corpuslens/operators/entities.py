@@ -160,8 +160,8 @@ def merge_coref(clusters: DataFrame, resolved: DataFrame) -> DataFrame:
 
     A title joins the first cluster (by pos) that has its owner as a member, and a cluster that is named by the
     title goes then. Titles count in order of pos, later ones seeing what earlier ones did. That only matters
-    to a title whose owner is an earlier title, or a member of a cluster that an earlier one may
-    remove; so each round takes all titles that wait for none of those left, at the same time.
+    where the owner of one is the other, or a member of the cluster that the other may remove: the later of such
+    two waits. Each round takes all titles that wait for none of those left, at the same time.
     """
     left = resolved.filter(F.size("owners") == 1).select("pos", "title", F.col("owners")[0].alias("owner"))
     members = clusters.select("canonical", F.col("pos").alias("place"), F.explode(F.array_distinct(F.concat(F.array("canonical"), F.col("aliases")))).alias("name"))
@@ -169,10 +169,11 @@ def merge_coref(clusters: DataFrame, resolved: DataFrame) -> DataFrame:
     gone = left.select(F.col("title").alias("canonical")).limit(0)
     left, members = cut_lineage(left), cut_lineage(members)
     while not left.isEmpty():
-        earlier = left.select(F.col("pos").alias("before"), F.col("title").alias("other"))
-        by_title = left.join(earlier, (F.col("owner") == F.col("other")) & (F.col("before") < F.col("pos"))).select("pos")
-        by_cluster = left.join(members, F.col("owner") == F.col("name")).join(earlier, (F.col("canonical") == F.col("other")) & (F.col("before") < F.col("pos"))).select("pos")
-        ready = cut_lineage(left.join(by_title.unionByName(by_cluster).distinct(), "pos", "left_anti"))
+        other = left.select(F.col("pos").alias("other"), F.col("title").alias("named"))
+        by_title = left.join(other, (F.col("owner") == F.col("named")) & (F.col("pos") != F.col("other")))
+        by_cluster = left.join(members, F.col("owner") == F.col("name")).join(other, (F.col("canonical") == F.col("named")) & (F.col("pos") != F.col("other")))
+        later = F.greatest("pos", "other").alias("pos")
+        ready = cut_lineage(left.join(by_title.select(later).unionByName(by_cluster.select(later)).distinct(), "pos", "left_anti"))
         target = ready.join(members, F.col("owner") == F.col("name")).groupBy("pos", "title").agg(F.min_by("canonical", "place").alias("canonical"), F.min("place").alias("place"))
         target = cut_lineage(target)
         removed = target.filter(F.col("title") != F.col("canonical")).select(F.col("title").alias("canonical")).distinct()
@@ -184,7 +185,7 @@ def merge_coref(clusters: DataFrame, resolved: DataFrame) -> DataFrame:
     added = joined.groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("at", "title"))).alias("t"))
     new = F.coalesce(F.transform("t", lambda x: x["title"]), F.array().cast("array<string>"))
     kept = clusters.join(gone.distinct(), "canonical", "left_anti").join(added, "canonical", "left")
-    return kept.select("pos", "canonical", F.when(F.size(new) > 0, F.array_distinct(F.concat("aliases", new))).otherwise(F.col("aliases")).alias("aliases"))
+    return kept.select("pos", "canonical", F.concat("aliases", F.array_distinct(F.array_except(new, F.col("aliases")))).alias("aliases"))
 
 
 def claim_single_words(clusters: DataFrame) -> DataFrame:
