@@ -24,6 +24,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder:
         import tempfile
 
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
+
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(folder)
 
@@ -40,7 +43,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("s"), F.col("b").alias("n"))
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("s"), F.col("b").alias("n")).distinct()
         # small star: a node's smaller neighbours, and itself, go to the least of them
         lowest = large.groupBy("n").agg(F.min("s").alias("m"))
         small = large.join(lowest, "n").select(F.col("m").alias("a"), F.col("s").alias("b")).filter("a <> b").unionAll(lowest.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()

@@ -33,8 +33,8 @@ def build_index(chunks: DataFrame, encode=hashed_embedding) -> Index:
     return Index(chunks, postings, rewrite.vocabulary(chunks))
 
 
-def dense(index: Index, queries: DataFrame, kind: str, k: int, wanted: list[str] | None = None, encode=hashed_embedding, prefix: str = "") -> DataFrame:
-    """Top k by cosine; characters filter before."""
+def dense(index: Index, queries: DataFrame, kind: str, k: int, wanted: list[str] | None = None, encode=hashed_embedding, prefix: str = PREFIX) -> DataFrame:
+    """Top k by cosine of prefixed queries (passages are encoded without); characters filter before."""
     rows = index.chunks.filter((F.col("chunk_type") == kind) & matches_any("characters", wanted))
     asked = queries.select("query_id", encode(F.concat(F.lit(prefix), F.col("text"))).alias("embedding"))
     return dense_search(rows.select("id", "pos", "embedding"), asked, k)

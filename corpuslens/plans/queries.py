@@ -78,22 +78,29 @@ SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n_chars FROM c
 """
 
 
-def slugify_heads(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", tx.slugify(F.substring("text", 1, 60)).alias("slug"))
+def _names(spark, sf_dir) -> DataFrame:
+    """All different names in whole texts."""
+    return _t(spark, sf_dir, "documents").select(F.explode(entities.name_spans(F.col("text"))).alias("name")).distinct()
 
 
-SQL["slugify_heads"] = rf"""
-WITH a AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 60)), '[^\p{{L}}\p{{N}}_\s\x0B\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g') AS t FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '^{WS}+', ''), '{WS}+$', ''), '{WS}+', '_', 'g') AS slug FROM a
+_SQL_NAMES = r"(SELECT DISTINCT unnest(regexp_extract_all(text, '\p{Lu}[\p{L}’'']+(?: \p{Lu}[\p{L}’'']+){0,3}')) AS name FROM documents)"
+
+
+def slugify_names(spark, sf_dir):
+    return _names(spark, sf_dir).select("name", tx.slugify(F.concat(F.col("name"), F.lit(" (the elder)"))).alias("slug"))
+
+
+SQL["slugify_names"] = rf"""
+WITH a AS (SELECT name, regexp_replace(lower(name || ' (the elder)'), '[^\p{{L}}\p{{N}}_\s\x0B\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g') AS t FROM {_SQL_NAMES})
+SELECT name, regexp_replace(regexp_replace(regexp_replace(t, '^{WS}+', ''), '{WS}+$', ''), '{WS}+', '_', 'g') AS slug FROM a
 """
 
 
 def normalise_mentions(spark, sf_dir):
-    """Mentions with a possessive and wrapped over lines, made from the first two words."""
-    p = tx.pieces(F.col("text"))
-    raw = F.concat(F.lit(" "), F.coalesce(F.get(p, F.lit(0)), F.lit("")), F.lit("\n "), F.coalesce(F.get(p, F.lit(1)), F.lit("")), F.lit("’s "))
+    """All names as a text may have them, with a possessive and wrapped over lines."""
+    raw = F.concat(F.lit(" "), F.regexp_replace("name", " ", "\n "), F.lit("’s "))
     m = tx.normalise_mention(raw)
-    return _t(spark, sf_dir, "documents").select("doc_id", m.alias("mention"), tx.is_useful_mention(m).alias("useful"), tx.is_alias_candidate(m).alias("candidate"), F.array_join(F.array_sort(tx.significant(m)), " ").alias("significant"))
+    return _names(spark, sf_dir).select("name", m.alias("mention"), tx.is_useful_mention(m).alias("useful"), tx.is_alias_candidate(m).alias("candidate"), F.array_join(F.array_sort(tx.significant(m)), " ").alias("significant"))
 
 
 def _sql_list(words: list[str]) -> str:
@@ -118,9 +125,8 @@ def _sql_normalised(c: str) -> str:
 
 
 SQL["normalise_mentions"] = rf"""
-WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS p FROM documents),
-b AS (SELECT doc_id, {_sql_normalised("' ' || coalesce(p[1], '') || chr(10) || ' ' || coalesce(p[2], '') || '’s '")} AS m FROM a)
-SELECT doc_id, m AS mention, {_sql_useful('m')} AS useful, {_sql_candidate('m')} AS candidate,
+WITH b AS (SELECT name, {_sql_normalised("' ' || replace(name, ' ', chr(10) || ' ') || '’s '")} AS m FROM {_SQL_NAMES})
+SELECT name, m AS mention, {_sql_useful('m')} AS useful, {_sql_candidate('m')} AS candidate,
   array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(m), '{WS}+'), lambda x: x <> '' AND NOT list_contains({_sql_list(tx.TITLES)}, x)))), ' ') AS significant
 FROM b
 """
@@ -272,11 +278,12 @@ SQL["batch_ranges"] = "SELECT s AS first, least(s + 49, n) AS last FROM (SELECT
 
 def bm25_stats(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    n, _ = bm25.corpus_stats(docs).first()
-    return bm25.idf_table(bm25.term_counts(docs), n).select("token", "df", F.round("idf", 6).alias("idf"))
+    counts = cut_lineage(bm25.term_counts(docs))
+    n, _ = bm25.corpus_stats(docs, counts).first()
+    return bm25.idf_table(counts, n).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-def _sql_bm25(docs: str, k: int, name: str) -> str:
+def _sql_bm25(docs: str, k: int, name: str, asked: str = TOKENS) -> str:
     """CTEs that end in {name}(query_id, rank, id, score) for documents of a (doc_id, text) query."""
     return rf"""
 {name}_t AS (SELECT doc_id, {TOKENS} AS w FROM {docs}),
@@ -284,13 +291,18 @@ def _sql_bm25(docs: str, k: int, name: str) -> str:
 {name}_c AS (SELECT doc_id, len(w) AS dl, token, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS token FROM {name}_t) GROUP BY ALL),
 {name}_r AS (SELECT token, count(*) AS df, ln((SELECT n FROM {name}_n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {name}_c GROUP BY token),
 {name}_i AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {name}_r) ELSE raw END AS idf FROM {name}_r),
-{name}_q AS (SELECT query_id, token, count(*) AS m FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS token FROM benchmark) GROUP BY ALL),
+{name}_q AS (SELECT query_id, token, count(*) AS m FROM (SELECT item_id AS query_id, unnest({asked}) AS token FROM benchmark) GROUP BY ALL),
 {name}_s AS (SELECT query_id, doc_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM {name}_q JOIN {name}_c USING (token) JOIN {name}_i USING (token), {name}_n GROUP BY ALL),
 {name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id AS id, score FROM {name}_s WHERE score > 0 QUALIFY rank <= {k})"""
 
 
-SQL["bm25_stats"] = f"WITH {_sql_bm25('documents', 10, 'x')} SELECT token, df, round(idf, 6) AS idf FROM x_i"
+SQL["bm25_stats"] = f"""
+WITH d AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY token),
+r AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT count(*) AS n FROM documents)),
+m AS MATERIALIZED (SELECT avg(raw) AS mean FROM r)
+SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, m
+"""
 
 
 def bm25_topk(spark, sf_dir):
@@ -353,14 +365,13 @@ SQL["adjacent_cosine"] = "SELECT vec_id, round(list_dot_product(b::DOUBLE[], emb
 
 
 def _two_lists(spark, sf_dir) -> DataFrame:
-    """Whole documents and their heads as two granularities of one corpus."""
-    docs, q = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    heads = docs.withColumn("text", F.substring("text", 1, 600))
-    whole = bm25.search(bm25.build_postings(docs), q, 20)
-    return fusion.union_lists([bm25.search(bm25.build_postings(heads), q, 20), whole])
+    """Whole documents as found by queries with and without typos."""
+    postings = cut_lineage(bm25.build_postings(_docs(spark, sf_dir)))
+    return fusion.union_lists([bm25.search(postings, q, 20) for q in (_typos(spark, sf_dir), _asked(spark, sf_dir))])
 
 
-_LISTS = f"{_sql_bm25('(SELECT doc_id, substr(text, 1, 600) AS text FROM documents)', 20, 'a')}, {_sql_bm25('documents', 20, 'b')}, l AS (SELECT 0 AS list_no, query_id, rank, id FROM a UNION ALL SELECT 1, query_id, rank, id FROM b)"
+_TYPOS = f"list_transform({TOKENS}, lambda t: CASE WHEN length(t) >= 6 THEN substr(t, 1, 3) || substr(t, 3) ELSE t END)"
+_LISTS = f"{_sql_bm25('documents', 20, 'a', _TYPOS)}, {_sql_bm25('documents', 20, 'b')}, l AS (SELECT 0 AS list_no, query_id, rank, id FROM a UNION ALL SELECT 1, query_id, rank, id FROM b)"
 
 
 def rrf_fusion(spark, sf_dir):
@@ -641,12 +652,10 @@ SQL["synthesise"] = f"WITH {_sql_bm25('documents', 5, 'x')} SELECT query_id, str
 
 
 def _hybrid_index(spark, sf_dir) -> hybrid.Index:
-    docs = _t(spark, sf_dir, "documents")
-    base = docs.select(F.col("doc_id").alias("pos"), "text", F.array("source").alias("characters"))
-    whole = base.withColumns({"chunk_type": F.lit("chapter"), "id": F.concat(F.lit("c"), F.col("pos").cast("string"))})
-    heads = base.withColumns({"chunk_type": F.lit("paragraph"), "id": F.concat(F.lit("p"), F.col("pos").cast("string")), "text": F.substring("text", 1, 600)})
-    chunks = whole.unionByName(heads).withColumn("embedding", hashed_embedding(F.col("text")))
-    index = hybrid.build_index(cut_lineage(chunks))
+    """Whole documents as chapters and all of their paragraphs."""
+    pos = F.col("book_num").cast("long") * 10**13 + F.col("chapter_num").cast("long") * 10**6 + F.col("chunk_index")
+    chunks = _chunks(spark, sf_dir).withColumns({"pos": pos, "characters": F.array(F.concat(F.lit("book"), F.col("book_num").cast("string")))})
+    index = hybrid.build_index(cut_lineage(chunks.withColumn("embedding", hashed_embedding(F.col("text")))))
     return hybrid.Index(index.chunks, {k: cut_lineage(v) for k, v in index.postings.items()}, cut_lineage(index.vocab))
 
 
@@ -681,7 +690,7 @@ SQL["chat_lengths"] = "SELECT conv_id, count(*) AS n_turns FROM conversations GR
 
 NAMES = [
     "bm25_topk", "bm25_stats", "bm25_filtered", "dense_topk", "dense_filtered", "adjacent_cosine", "rrf_fusion", "merge_candidates",
-    "tokenize_counts", "vocab_first_seen", "vocab_oov", "query_corrections", "query_rewrite", "cleanse_text", "slugify_heads", "normalise_mentions", "text_views", "chunk_ids_uuid5",
+    "tokenize_counts", "vocab_first_seen", "vocab_oov", "query_corrections", "query_rewrite", "cleanse_text", "slugify_names", "normalise_mentions", "text_views", "chunk_ids_uuid5",
     "toc_chapters", "page_join", "nested_books", "accuracy_report", "book_summary", "page_summary", "batch_ranges", "semantic_chunks", "chunk_stats", "upsert_idempotent",
     "mention_counts", "top_mentions", "alias_pairs", "alias_clusters", "tag_characters", "dominance", "single_word_claim", "overrides_apply", "cluster_totals", "coref_titles",
     "citation_resolve", "context_render", "synthesise", "hybrid_search", "research_report", "chat_history", "chat_lengths",

@@ -104,8 +104,13 @@ def documents_as_chapters(docs: DataFrame) -> DataFrame:
     """Chapters: a book for each source, numbered by name; chapters by doc_id."""
     book = F.dense_rank().over(Window.orderBy("source"))
     books = docs.select("source").distinct().withColumn("book_num", book)  # one row a source
-    chapter = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    numbered = docs.select("doc_id", "text", "source").withColumn("chapter_num", chapter).join(F.broadcast(books), "source")
+    # ids are numbered without their texts
+    ids = docs.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    ids = ids.select("source", "doc_id", F.coalesce(before, F.lit(0)).alias("before")).join(books, "source").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), "before", "book_num")
+    met = docs.select("doc_id", "text", "source").join(ids, (F.col("source") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    within = F.row_number().over(Window.partitionBy("source", "doc_id").orderBy(F.xxhash64("text")))
+    numbered = met.withColumn("chapter_num", (F.col("before") + within).cast("int"))
     return numbered.select("doc_id", "book_num", "chapter_num", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("chapter_title"), F.col("chapter_num").alias("page_start"), "text")
 
 
