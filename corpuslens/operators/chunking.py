@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, sentences, token_count
 from ..functions.vectors import bag_vectors, dot
+from .entities import tag_characters
+from .graph import cut_lineage
 
 THRESHOLD, LEAST, MOST, OVERLAP = 0.35, 100, 400, 1
 
@@ -68,10 +70,11 @@ def sentence_parts(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray
     return with_likes.withColumn("parts", F.zip_with("_s", "_like", part)).drop("_s", "_like")
 
 
-def chunk_chapters(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray] = bag_vectors, threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+def chunk_chapters(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray] = bag_vectors, threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP, people: DataFrame | None = None) -> DataFrame:
     """One chapter chunk and the paragraph chunks of each chapter, with deterministic ids.
 
-    Columns: id, book_num, chapter_num, chapter_title, text, chunk_type, chunk_index, page_start.
+    Columns: id, book_num, chapter_num, chapter_title, text, chunk_type, chunk_index, page_start; with people (entities),
+    also characters: the ids of those that a chunk names.
     """
     keys = ["book_num", "chapter_num", "chapter_title", "page_start"]
     parts = sentence_parts(chapters.select(*keys, "text"), encode)
@@ -79,7 +82,11 @@ def chunk_chapters(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray
     folded = F.transform(F.array("parts"), lambda p: fold(p, threshold, least, most, overlap))[0]
     both = parts.select(*keys, F.array(F.struct(F.lit("chapter").alias("chunk_type"), F.array("text").alias("t")), F.struct(F.lit("paragraph").alias("chunk_type"), folded.alias("t"))).alias("kinds"))
     rows = both.select(*keys, F.explode("kinds").alias("k")).select(*keys, "k.chunk_type", F.posexplode("k.t").alias("chunk_index", "text"))
-    return rows.withColumn("id", chunk_id(F.col("book_num"), F.col("chapter_num"), F.col("chunk_index"), F.col("chunk_type")))
+    chunks = rows.withColumn("id", chunk_id(F.col("book_num"), F.col("chapter_num"), F.col("chunk_index"), F.col("chunk_type")))
+    if people is None:
+        return chunks
+    chunks = cut_lineage(chunks)
+    return chunks.join(tag_characters(chunks, people), "id")
 
 
 def adjacent_cosine(vectors: DataFrame, order: str = "pos", partition: str | None = None) -> DataFrame:

@@ -23,10 +23,17 @@ class ChatSession:
 
     def __init__(self, spark: SparkSession, thread_id: str | None = None):
         self.spark, self.thread_id = spark, thread_id or str(uuid.uuid4())
-        self._turns: list[tuple] = []
+        self._turns: list[dict] = []
 
-    def record(self, query: str, answer: str) -> None:
-        self._turns.append((self.thread_id, len(self._turns), query, answer))
+    def record(self, query: str, finding: dict, rewritten_query: str | None = None, candidates: list[dict] = ()) -> dict:
+        """Appends a turn and gives it: the query as typed and as searched, its finding, and the candidates it was drawn from."""
+        turn = {"thread_id": self.thread_id, "turn_no": len(self._turns), "query": query, "rewritten_query": query if rewritten_query is None else rewritten_query, "finding": finding, "candidates": list(candidates)}
+        self._turns.append(turn)
+        return turn
+
+    @property
+    def turn_list(self) -> list[dict]:
+        return list(self._turns)
 
     def reset(self) -> None:
         self._turns = []

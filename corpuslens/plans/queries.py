@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import hashed_embedding
+from ..functions.vectors import hashed_embedding, normalise
 from ..operators import bm25, chapters, chunking, dense, entities, fusion, rewrite
 from ..operators.graph import cut_lineage
 from ..sources import readers, sinks
@@ -607,6 +607,37 @@ def coref_titles(spark, sf_dir):
     return entities.dominant_owners(counted).select("title", F.array_join("owners", "|").alias("owners"))
 
 
+def label_join(spark, sf_dir):
+    """Labels of ids, some of them unknown."""
+    src = _t(spark, sf_dir, "documents").select("source").distinct()
+    people = src.filter("source <> 'src3'").select(F.col("source").alias("char_id"), F.upper("source").alias("label"))
+    return entities.label_of(src.select(F.col("source").alias("char_id")), people).select("char_id", F.coalesce("label", F.lit("?")).alias("label"))
+
+
+SQL["label_join"] = "SELECT DISTINCT source AS char_id, CASE WHEN source = 'src3' THEN '?' ELSE upper(source) END AS label FROM documents"
+
+
+def merge_summary(spark, sf_dir):
+    src = _t(spark, sf_dir, "documents").select("source").distinct()
+    people = src.select(F.col("source").alias("char_id"), F.upper("source").alias("label"), F.array("source").alias("aliases"), F.lit(0).alias("pos"))
+    drops, merges = src.filter("source IN ('src1', 'src7')").select(F.col("source").alias("char_id")), spark.createDataFrame([(0, 0, "src5"), (0, 1, "src9"), (0, 2, "src2")], "group int, place int, char_id string")
+    return entities.merge_summary(people, entities.apply_overrides(people, drops, merges), drops)
+
+
+SQL["merge_summary"] = """WITH s AS (SELECT DISTINCT source FROM documents), n AS (SELECT count(*) AS b, count(*) FILTER (source IN ('src1', 'src7')) AS d, count(*) FILTER (source IN ('src9', 'src2') AND EXISTS (SELECT 1 FROM s WHERE source = 'src5')) AS m FROM s)
+SELECT b AS before, b - d - m AS after, d AS dropped, m AS merged FROM n"""
+
+
+def unit_vectors(spark, sf_dir):
+    """Vectors stretched by their label and brought back to length 1."""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 2)).alias("v"))
+    return v.select("vec_id", F.round(F.get(normalise(F.col("v")), F.lit(0)), 6).alias("first"), F.round(F.get(normalise(F.col("v")), F.lit(63)), 6).alias("last"))
+
+
+SQL["unit_vectors"] = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT vec_id, round(e[1] / n, 6) AS first, round(e[64] / n, 6) AS last FROM v"""
+
+
 # ---- answers
 
 
@@ -651,6 +682,20 @@ def synthesise(spark, sf_dir):
 SQL["synthesise"] = f"WITH {_sql_bm25('documents', 5, 'x')} SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3) AS sources, least(count(*), 5)::INTEGER AS conviction FROM x GROUP BY query_id"
 
 
+def evidence_join(spark, sf_dir):
+    """What findings cite, with the passages' sources; one cited id is nowhere."""
+    hits = _hits(spark, sf_dir)
+    cited = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids")).select("query_id", F.struct(F.concat("ids", F.array(F.lit("-7"))).alias("source_ids")).alias("finding"))
+    twice = hits.select("query_id", "rank", "id", "source").unionByName(hits.select("query_id", (F.col("rank") + 9).alias("rank"), "id", F.lit("later").alias("source")))
+    found = synthesis.evidence(cited, twice).join(cited.select("query_id", synthesis.citation_count(F.col("finding.source_ids")).cast("long").alias("n_cited")), "query_id")
+    return found.select("query_id", F.col("place").cast("long").alias("place"), "id", F.coalesce("source", F.lit("missing")).alias("source"), "n_cited")
+
+
+SQL["evidence_join"] = f"""WITH {_sql_bm25('documents', 5, 'x')}, c AS (SELECT query_id, list_sort(list(id::VARCHAR)) || ['-7'] AS ids FROM x GROUP BY query_id),
+u AS (SELECT query_id, unnest(range(0, len(ids)))::BIGINT AS place, unnest(ids) AS id, len(ids)::BIGINT AS n_cited FROM c)
+SELECT query_id, place, id, coalesce(d.source, 'missing') AS source, n_cited FROM u LEFT JOIN documents d ON d.doc_id = try_cast(u.id AS BIGINT) AND u.id <> '-7'"""
+
+
 def _hybrid_index(spark, sf_dir) -> hybrid.Index:
     """Whole documents as chapters and all of their paragraphs."""
     pos = F.col("book_num").cast("long") * 10**13 + F.col("chapter_num").cast("long") * 10**6 + F.col("chunk_index")
@@ -692,7 +737,7 @@ NAMES = [
     "bm25_topk", "bm25_stats", "bm25_filtered", "dense_topk", "dense_filtered", "adjacent_cosine", "rrf_fusion", "merge_candidates",
     "tokenize_counts", "vocab_first_seen", "vocab_oov", "query_corrections", "query_rewrite", "cleanse_text", "slugify_names", "normalise_mentions", "text_views", "chunk_ids_uuid5",
     "toc_chapters", "page_join", "nested_books", "accuracy_report", "book_summary", "page_summary", "batch_ranges", "semantic_chunks", "chunk_stats", "upsert_idempotent",
-    "mention_counts", "top_mentions", "alias_pairs", "alias_clusters", "tag_characters", "dominance", "single_word_claim", "overrides_apply", "cluster_totals", "coref_titles",
+    "mention_counts", "top_mentions", "alias_pairs", "alias_clusters", "tag_characters", "dominance", "single_word_claim", "overrides_apply", "cluster_totals", "coref_titles", "label_join", "merge_summary", "unit_vectors", "evidence_join",
     "citation_resolve", "context_render", "synthesise", "hybrid_search", "research_report", "chat_history", "chat_lengths",
 ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences
 from ..operators.fusion import merge_candidates
 from .hybrid import Index, hybrid_search
-from .synthesis import NO_EVIDENCE, plan_errors, resolve_citations, checked_citations, synthesise
+from .synthesis import NO_EVIDENCE, plan_errors, resolve_citations, checked_citations, passage, synthesise
 
 
 def clauses(query: Column) -> Column:
@@ -75,12 +75,16 @@ def _by_number():
     return Window.partitionBy("query_id").orderBy("number")
 
 
-def render_subfindings(queries: DataFrame, subs: DataFrame) -> DataFrame:
-    """(query_id, context): the aggregator's view of the sub-findings."""
+def render_subfindings(queries: DataFrame, subs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, context): the aggregator's view of the sub-findings and of passages(query_id, rank, source, text, ...)."""
+    # fixed values: the layout of the context
     gaps = F.when(F.size("finding.gaps") > 0, F.concat(F.lit("['"), F.array_join("finding.gaps", "', '"), F.lit("']"))).otherwise("(none)")
     part = F.concat(F.format_string("Sub-finding %d: %s\n  conviction: %d/5\n  answer: %s\n  gaps: ", "sub_no", "sub_question", "finding.conviction", "finding.answer"), gaps)
-    lines = subs.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sub_no", part.alias("part")))), lambda x: x["part"]), "\n").alias("parts"), F.count(F.lit(1)).alias("n"))
-    return queries.join(lines, "query_id").select("query_id", F.concat(F.lit("Original research question: "), F.col("text"), F.format_string("\n\n=== SUB-FINDINGS (%d) ===\n\n", "n"), F.col("parts")).alias("context"))
+    in_order = lambda rows, by, line: rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.count(F.lit(1)).alias("n"))
+    found = in_order(subs, "sub_no", part).select("query_id", F.concat(F.format_string("\n\n=== SUB-FINDINGS (%d) ===\n\n", "n"), F.col("lines")).alias("found"))
+    shown = in_order(passages, "rank", passage(F.col("rank"))).select("query_id", F.concat(F.format_string("\n\n=== FLATTENED PASSAGE SET (%d) ===\n\n", "n"), F.col("lines")).alias("shown"))
+    both = queries.join(found, "query_id").join(shown, "query_id", "left")
+    return both.select("query_id", F.concat(F.lit("Original research question: "), F.col("text"), "found", F.coalesce("shown", F.lit("\n\n=== FLATTENED PASSAGE SET (0) ===\n\n"))).alias("context"))
 
 
 def research(index: Index, queries: DataFrame, planner=clauses, top: int = 10, answer=None) -> DataFrame:

@@ -11,6 +11,7 @@ from .. import schemas
 from ..functions.text import citation_number, head_words, sentences
 
 NO_EVIDENCE = "__no_evidence__"
+PAST = "array<struct<turn_no:bigint,question:string,answer:string>>"
 
 
 def passage(number: Column, c: Callable[[str], Column] = F.col) -> Column:
@@ -67,19 +68,38 @@ def synthesise(queries: DataFrame, candidates: DataFrame, answer=extractive, cac
     answer(query, top) is an expression, or a UDF that calls a model. With cached, queries
     of equal prompts are answered once.
     """
+    return _synthesise(queries.withColumn("past", F.array().cast(PAST)), candidates, lambda query, top, _: answer(query, top), cached)
+
+
+def synthesise_with_history(queries: DataFrame, candidates: DataFrame, history: DataFrame | None = None, answer=None, cached: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Findings as synthesise gives them, and history(query_id, turn_no, question, answer) with the new turns behind.
+
+    answer(query, top, past) also sees the earlier turns of the query's thread, in order. Citations are
+    those of the new candidates only.
+    """
+    past = None if history is None else history.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn_no").cast("long").alias("turn_no"), "question", "answer"))).alias("past"))
+    asked = queries.withColumn("past", F.array().cast(PAST)) if past is None else queries.join(past, "query_id", "left").withColumn("past", F.coalesce("past", F.array().cast(PAST)))
+    found = _synthesise(asked, candidates, answer or (lambda query, top, _: extractive(query, top)), cached)
+    number = F.coalesce(F.element_at(F.transform("past", lambda x: x["turn_no"]), -1) + 1, F.lit(1).cast("long")) if past is not None else F.lit(1).cast("long")
+    turns = asked.withColumn("turn_no", F.when(F.size("past") > 0, number).otherwise(1)) if past is not None else asked.withColumn("turn_no", number)
+    new = turns.select("query_id", "turn_no", F.col("text").alias("question")).join(found.select("query_id", F.col("finding.answer").alias("answer")), "query_id")
+    return found, new if history is None else history.select("query_id", F.col("turn_no").cast("long").alias("turn_no"), "question", "answer").unionByName(new)
+
+
+def _synthesise(queries: DataFrame, candidates: DataFrame, answer, cached: bool) -> DataFrame:
     if not queries.join(candidates, "query_id", "left_anti").isEmpty():
         raise ValueError("a query has no candidates")
     best = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("top"))
     asked = queries.join(best, "query_id")
+    made = answer(F.col("text"), F.col("top"), F.col("past")).cast(schemas.FINDING).alias("raw")
     if cached:
-        once = asked.withColumn("key", F.sha2(F.to_json(F.struct("text", "top")), 256))
-        answers = once.dropDuplicates(["key"]).select("key", answer(F.col("text"), F.col("top")).cast(schemas.FINDING).alias("raw"))
-        made = once.join(answers, "key").select("query_id", "raw")
+        once = asked.withColumn("key", F.sha2(F.to_json(F.struct("text", "top", "past")), 256))
+        raws = once.select("query_id", "key").join(once.dropDuplicates(["key"]).select("key", made), "key").select("query_id", "raw")
     else:
-        made = asked.select("query_id", answer(F.col("text"), F.col("top")).cast(schemas.FINDING).alias("raw"))
-    cited = made.select("query_id", F.posexplode("raw.source_ids").alias("place", "raw"))
+        raws = asked.select("query_id", made)
+    cited = raws.select("query_id", F.posexplode("raw.source_ids").alias("place", "raw"))
     ids = checked_citations(resolve_citations(cited, candidates))
-    out = made.join(ids, "query_id", "left").select("query_id", F.struct("raw.answer", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), "raw.conviction", "raw.gaps").alias("finding"))
+    out = raws.join(ids, "query_id", "left").select("query_id", F.struct("raw.answer", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), "raw.conviction", "raw.gaps").alias("finding"))
     wrong = finding_errors(F.col("finding"))
     return out.withColumn("finding", F.when(wrong.isNull(), F.col("finding")).otherwise(F.raise_error(wrong).cast(out.schema["finding"].dataType)))
 

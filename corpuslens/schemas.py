@@ -11,4 +11,4 @@ CANDIDATE = "id STRING, score DOUBLE, source STRING, text STRING, book_num INT,
 ALIASES = "MAP<STRING, STRUCT<label: STRING, aliases: ARRAY<STRING>>>"
 OVERRIDES = "drop ARRAY<STRING>, force_merge ARRAY<ARRAY<STRING>>"
 FINDING = "STRUCT<answer: STRING, source_ids: ARRAY<STRING>, conviction: INT, gaps: ARRAY<STRING>>"
-TURN = "thread_id STRING, turn_no LONG, query STRING, answer STRING"
+TURN = f"thread_id STRING, turn_no LONG, query STRING, rewritten_query STRING, finding {FINDING}, candidates ARRAY<STRUCT<{CANDIDATE.replace(' ', ': ').replace(',: ', ', ')}>>"

@@ -147,8 +147,8 @@ def test_hybrid_and_research(spark):
 
 def test_chat(spark):
     s = chat.ChatSession(spark)
-    s.record("q", "a")
-    s.record("r", "b")
+    s.record("q", {"answer": "a", "source_ids": ["7"], "conviction": 3, "gaps": []}, "q q", [{"id": "7", "score": 0.5, "text": "t"}])
+    s.record("r", {"answer": "b", "source_ids": ["7"], "conviction": 3, "gaps": []})
     name = s.thread_id
     assert len(s) == 2 and [x.query for x in chat.history(s.turns(), name).collect()] == ["q", "r"]
     s.reset()
@@ -203,3 +203,52 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         q.awaitTermination(120)
         chunks = spark.read.parquet(f"{tmp_path}/chunks")
         assert chunks.count() == 6 and chunks.select("id").distinct().count() == 6
+
+
+def test_history_goes_into_prompts_and_grows(spark):
+    from corpuslens.plans import synthesis
+
+    q = spark.createDataFrame([(1, "who?"), (2, "where?")], "query_id int, text string")
+    c = spark.createDataFrame([(1, 1, "x", "Ann came. Late."), (2, 1, "y", "In town."), (2, 2, "z", "At sea.")], "query_id int, rank int, id string, text string")
+    past = spark.createDataFrame([(2, 0, "when?", "noon"), (2, 1, "why?", "rain")], "query_id int, turn_no long, question string, answer string")
+    told = lambda query, top, past: F.struct(F.concat_ws("|", query, F.array_join(F.transform(past, lambda x: x["question"]), ",")).alias("answer"), F.array(F.lit("[1]")).alias("source_ids"), F.lit(4).alias("conviction"), F.array().cast("array<string>").alias("gaps"))
+    found, grown = synthesis.synthesise_with_history(q, c, past, told)
+    assert {x.query_id: (x.finding.answer, x.finding.source_ids) for x in found.collect()} == {1: ("who?|", ["x"]), 2: ("where?|when?,why?", ["y"])}
+    assert sorted(map(tuple, grown.collect())) == [(1, 1, "who?", "who?|"), (2, 0, "when?", "noon"), (2, 1, "why?", "rain"), (2, 2, "where?", "where?|when?,why?")]
+    with pytest.raises(ValueError):
+        synthesis.synthesise_with_history(q, c.filter("query_id = 1"))
+
+
+def test_store_from_documents_to_chat(spark, tmp_path):
+    from corpuslens import __main__ as cli
+
+    docs = spark.createDataFrame([(i, f"s{i % 2}", f"Ann met Bo near lake{i}. They spoke of weather{i} and boats.") for i in range(8)], "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    store = f"{tmp_path}/store"
+    first = cli.build(spark, f"{tmp_path}/documents.parquet", store)
+    assert first == {"chapter": 8, "paragraph": 8} == cli.build(spark, f"{tmp_path}/documents.parquet", store)
+    index = cli.load(spark, store)
+    assert index.chunks.count() == 16 and "lake3" in cli.found(spark, index, "lake3", 3, None)[0].orderBy("rank").first().text
+    replies = list(cli.talk(spark, index, ["weather5", "/history", "/what", "/clear", "/history", "/exit", "never"]))
+    assert replies[0][1].startswith("conviction") and replies[1] == ["1. weather5"] and replies[2][0] == "unknown: /what" and replies[3:] == [["forgotten"], []]
+    with pytest.raises(ValueError):
+        cli.researched(spark, index, "  ", 3)
+
+
+def test_aliases_come_back_and_swaps_are_taken_up_again(spark, tmp_path):
+    rows = [("ann", "Ann", ["Ann", "Annie"]), ("bo", "Bo", ["Bo"])]
+    sinks.write_aliases(spark.createDataFrame(rows, "char_id string, label string, aliases array<string>"), f"{tmp_path}/a")
+    assert sorted(map(tuple, readers.read_aliases(spark, f"{tmp_path}/a").collect())) == rows
+    t = f"{tmp_path}/t"
+    assert sinks.upsert(spark, t, spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")) == 2
+    (tmp_path / "t").rename(tmp_path / "t.before")  # as a run leaves it that ends between the names
+    assert sinks.upsert(spark, t, spark.createDataFrame([("b", 2)], "id string, v int")) == 1
+    assert sorted(map(tuple, spark.read.parquet(t).collect())) == [("a", 1), ("b", 2)] and not (tmp_path / "t.before").exists()
+
+
+def test_context_of_findings_and_passages(spark):
+    q = spark.createDataFrame([(1, "who?")], "query_id int, text string")
+    subs = spark.createDataFrame([(1, 1, "when?", ("noon", ["x"], 3, []))], "query_id int, sub_no int, sub_question string, finding struct<answer:string,source_ids:array<string>,conviction:int,gaps:array<string>>")
+    p = spark.createDataFrame([(1, 1, "paragraph", "At noon.", 2, 3, "T", 9)], "query_id int, rank int, source string, text string, book_num int, chapter_num int, chapter_title string, page_start int")
+    got = research.render_subfindings(q, subs, p).first().context
+    assert got == "Original research question: who?\n\n=== SUB-FINDINGS (1) ===\n\nSub-finding 1: when?\n  conviction: 3/5\n  answer: noon\n  gaps: (none)\n\n=== FLATTENED PASSAGE SET (1) ===\n\n[1] Book 2, Chapter 3: T (p.9, source=paragraph)\n    At noon."
