@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,12 @@ def release() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; it looks for them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

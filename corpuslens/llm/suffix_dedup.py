@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import cut_lineage
-from .common import buckets_of, byte_view, map_arrow, mix64, release, scrambled, slices
+from .common import buckets_of, byte_view, give_back, map_arrow, mix64, release, scrambled, slices
 
 LENGTH, GRAM = 50, 24
 #: Anchors and segments that a task holds at once; bits of the broadcast filter at most; least count of a hot anchor.
@@ -307,6 +307,8 @@ def covered(docs: DataFrame, length: int, gram: int, hot_least: int, most_bits:
     """key, mark, start, end: covered runs of bytes of docs(key, mark, text), overlaps included."""
     buckets = buckets_of(docs, BUCKET_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, buckets, length, gram, hot_least, most_bits))
+    # what the first pass has shuffled goes before the second one writes
+    give_back(docs.sparkSession)
     side = length - gram
     width = gram + 2 * side
     cols = ["bucket", "kind", "segments", "doc", "mark", "place"]
