@@ -474,8 +474,9 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, counters: int = SKET
         return apart <= n + m - 2 * overlap(n, m)
 
     labels = _labels(sets.select("id"), first_links)
-    spread = labels.groupBy("label").agg(F.count(F.lit(1)).alias("spread"))
-    index = cut_lineage(prefix_index(sets, percent, counters).join(labels.join(spread, "label"), "id"))
+    spread = cut_lineage(labels.groupBy("label").agg(F.count(F.lit(1)).alias("spread")).filter("spread > 1"))
+    labels = labels.join(spread, "label", "left").withColumn("spread", F.coalesce("spread", F.lit(1)))
+    index = cut_lineage(prefix_index(sets, percent, counters).join(labels, "id"))
     bounds = [f(f"map{i}").alias(f"{name}{i}") for i in range(FOLDED) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
     folded = index.select("*", *maps(FOLDED))
     groups = folded.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("spread").alias("spread"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("places").alias("places"), *bounds)
