@@ -17,7 +17,8 @@ with a smaller doc_id. Three passes, none of which holds the corpus:
    through sequential files from round to round. From round ``length`` on, runs
    with common prefixes of ``length`` or more are equal windows; all but those of
    their smallest doc_id are covered.
-3. *Assembly*. Covered runs are united per document.
+3. *Assembly*. Covered runs are written to the checkpoint folder, what was shuffled to
+   find them is given back, and then they are united per document.
 
 Skew: a task keeps, of equal segments, only those of their smallest document and
 decides the others by itself. Anchors with more occurrences than a bucket should
@@ -452,7 +453,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     text = F.coalesce(F.col("text"), F.lit(""))
     # the mark tells rows apart that share a doc_id
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), (F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))).alias("mark"), text.alias("text"))
-    found = covered(rows.select("key", "mark", "text"), length, gram, hot_least, most_bits)
+    found = cut_lineage(covered(rows.select("key", "mark", "text"), length, gram, hot_least, most_bits))
+    # segments go before texts are shuffled to meet their spans
+    give_back(docs.sparkSession)
     found = found.groupBy("key", "mark").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
