@@ -213,17 +213,31 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int, gram: int, hot_
 
 
 class RoundFiles:
-    """Order and common prefixes between two rounds, as sequential files."""
+    """Order and common prefixes between two rounds, as sequential files.
+
+    Each round writes over what the one before left, which has the same size: a file that is
+    cut to nothing before it is written is flushed to disk by some file systems.
+    """
 
     def __init__(self, folder: str):
-        self.names = [os.path.join(folder, x) for x in ("order", "prefixes")]
+        self.order, self.prefixes = (open(os.path.join(folder, x), "w+b") for x in ("order", "prefixes"))
+
+    def __enter__(self) -> RoundFiles:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.order.close()
+        self.prefixes.close()
 
-    def write(self, *arrays: np.ndarray) -> None:
-        for name, x in zip(self.names, arrays, strict=True):
-            x.tofile(name)
+    def write(self, order: np.ndarray, prefixes: np.ndarray) -> None:
+        for file, x in ((self.order, order), (self.prefixes, prefixes)):
+            file.seek(0)
+            file.write(x.data)
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.names[0], np.int32), np.fromfile(self.names[1], np.uint8)
+        self.order.seek(0)
+        self.prefixes.seek(0)
+        return np.frombuffer(self.order.read(), np.int32), np.frombuffer(self.prefixes.read(), np.uint8)
 
 
 def range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -250,8 +264,7 @@ def covered_windows(segments: np.ndarray, docs: np.ndarray, low: np.ndarray, hig
     n, width = segments.shape
     columns = np.ascontiguousarray(segments.T)
     start, end = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    with tempfile.TemporaryDirectory() as folder:
-        files = RoundFiles(folder)
+    with tempfile.TemporaryDirectory() as folder, RoundFiles(folder) as files:
         files.write(np.arange(n, dtype=np.int32), np.zeros(n, np.uint8))
         for c in range(width - 1, -1, -1):
             order, prefix = files.read()
