@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +36,14 @@ def release() -> None:
 
 
 def give_back(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; it looks for them when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; it looks for them when the driver collects garbage.
+
+    What a job that has just ended still holds (events on their way to listeners, for one) outlives a first collection, so there are two.
+    """
+    for pause in (1, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
