@@ -7,8 +7,11 @@ entities (pos, char_id, label, aliases).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from ..functions.text import holds_word, is_alias_candidate, normalise_mention,
 from .graph import components, cut_lineage
 
 SIMILARITY, LEAST_COUNT, ANCHOR_COUNT, DOMINANCE, LEAST_TITLES, MAX_WORDS = 85, 3, 5, 2.0, 2, 4
+#: Words with more subsequences than this are blocked by segments.
+MOST_KEPT = 500
 
 #: Stand-in for a tagger: runs of one to four capitalised words.
 NAMES = r"\p{Lu}[\p{L}’']+(?: \p{Lu}[\p{L}’']+){0,3}"
@@ -41,12 +46,23 @@ def alias_pairs(counts: DataFrame, least_count: int = LEAST_COUNT, similarity: f
 
     Longer names pair if the words of one hold those of the other: the smaller one's
     rarest word is looked up among all words. Single words pair by spelling,
-    blocked by segments (see _spelled_alike).
+    blocked by shared subsequences (see _spelled_alike).
     Of two names with two significant parts or more, a larger one of three or more must be frequent.
     """
+    many, one = _countable(counts, least_count)
+    long_pairs = _held(many, anchor_count).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+    return long_pairs.unionByName(_spelled_alike(_spelled(one, similarity), similarity).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))).distinct()
+
+
+def _countable(counts: DataFrame, least_count: int) -> tuple[DataFrame, DataFrame]:
+    """Names of enough mentions: of several words, and of one."""
     low = F.lower("name")
-    names = counts.filter(F.col("cnt") >= least_count).select("pos", "name", "cnt", low.alias("w"), F.array_distinct(pieces(low)).alias("words"), F.size(significant(F.col("name"))).alias("sig"))
-    many, one = names.filter(F.size("words") > 1), names.filter(F.size("words") == 1)
+    names = counts.filter(F.col("cnt") >= least_count).select(F.col("pos").cast("long").alias("pos"), "name", "cnt", low.alias("w"), F.array_distinct(pieces(low)).alias("words"), F.size(significant(F.col("name"))).alias("sig"))
+    return names.filter(F.size("words") > 1), names.filter(F.size("words") == 1)
+
+
+def _held(many: DataFrame, anchor_count: int) -> DataFrame:
+    """(a, b) of longer names, as structs, of which one holds the words of the other."""
     whole = F.struct("pos", "name", "cnt", "sig", "words")
     parts = many.select(F.explode("words").alias("part"), whole.alias("y"))
     rarest = parts.join(parts.groupBy("part").agg(F.count(F.lit(1)).alias("k")), "part").groupBy(F.col("y.pos").alias("pos")).agg(F.min(F.struct("k", "part")).alias("r"))
@@ -56,50 +72,81 @@ def alias_pairs(counts: DataFrame, least_count: int = LEAST_COUNT, similarity: f
     met = held.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
     larger_cnt = F.when(F.col("a.sig") > F.col("b.sig"), F.col("a.cnt")).otherwise(F.col("b.cnt"))
     rare_anchor = (F.least("a.sig", "b.sig") > 1) & (F.greatest("a.sig", "b.sig") >= 3) & (larger_cnt < anchor_count)
-    long_pairs = met.filter(~rare_anchor).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    return long_pairs.unionByName(_spelled_alike(one, similarity)).distinct()
+    return met.filter(~rare_anchor)
 
 
-def _spelled_alike(words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of words(pos, name, w) whose Indel ratio is similarity at least.
+def _spelled(words: DataFrame, similarity: float) -> DataFrame:
+    """(key, sure, longer, pos, name, w) of words(pos, name, w): what those whose Indel ratio is similarity at least meet by.
 
-    Words of n <= m letters that are alike differ by at most d deletions and insertions, and
-    each of these spoils one of d + 1 segments of the shorter word at most. So one segment stands
-    in the longer word, moved by no more than there are deletions or insertions: an equi-join, exact.
+    Words of n <= m letters are alike if and only if they share a subsequence of l letters, so words of
+    any two such lengths meet by theirs: an equi-join on whole subsequences, which few others share. Lengths for which a word
+    has more than MOST_KEPT of them (names of some 14 letters and more) meet by segments instead: l common letters leave n - l and m - l
+    deletions and insertions, each of which spoils one of that many segments and one more of the shorter word at most, so one stands in the
+    longer word, moved by no more than that. No pair is missed; with the first kind of key (sure), none meets that is not alike.
     """
-    n, m, i = F.col("n"), F.col("m"), F.col("i")
-    sized = words.select("pos", "name", "w", F.length("w").alias("len"))
-
-    def cut(pairs: DataFrame) -> DataFrame:
-        """A row for each segment: place and letters, and the most deletions and insertions."""
-        both = pairs.withColumn("_l", F.ceil((n + m) * similarity / 200 - 1e-9).cast("int"))
-        both = both.withColumn("less", n - F.col("_l")).withColumn("more", m - F.col("_l")).filter("less >= 0")
-        k = F.col("less") + F.col("more") + 1
-        both = both.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), k - 1)))
-        place = F.floor(i * n / F.col("k")).cast("int")
-        return both.withColumn("at", place).withColumn("letters", F.floor((i + 1) * n / F.col("k")).cast("int") - place)
-
-    def keyed(rows: DataFrame, at: Column, side: str) -> DataFrame:
-        key = F.xxhash64(n, m, i, F.substr("w", at + 1, F.col("letters")))
-        return rows.select(key.alias("key"), F.struct("pos", "name", "w").alias(side)).distinct()
-
-    longest = F.floor(F.col("len") * (200 - similarity) / similarity + 1e-9).cast("int")
-    shortest = F.ceil(F.col("len") * similarity / (200 - similarity) - 1e-9).cast("int")
-    short = cut(sized.withColumn("n", F.col("len")).withColumn("m", F.explode(F.sequence(F.col("len"), longest))))
-    long = cut(sized.withColumn("m", F.col("len")).withColumn("n", F.explode(F.sequence(shortest, F.col("len")))))
-    moved = long.withColumn("by", F.explode(F.sequence(-F.col("less"), F.col("more")))).withColumn("to", F.col("at") + F.col("by")).filter("to >= 0 AND to + letters <= m")
-    met = keyed(short, F.col("at"), "x").join(keyed(moved, F.col("to"), "y"), "key").filter("x.pos <> y.pos")
-    first = F.col("x.pos") < F.col("y.pos")
-    pairs = met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
-    flat = pairs.select(*(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ab" for y in ("name", "w")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            words = zip(t.column("a_w").to_pylist(), t.column("b_w").to_pylist(), strict=True)
-            ok = pa.array([200 * _common(x, y) >= similarity * (len(x) + len(y)) for x, y in words], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column("a_name").filter(ok), t.column("b_name").filter(ok)], ["a", "b"])
+            for low in range(0, t.num_rows, 2000):
+                part = t.slice(low, 2000)
+                made = [_keys(w, similarity) for w in part.column("w").to_pylist()]
+                size = [len(x) for x in made]
+                at = pa.array(np.repeat(np.arange(len(made)), size))
+                flat = [x for own in made for x in own]
+                columns = [pa.array([x[0] for x in flat], pa.string()), *(pa.array([x[c] for x in flat], pa.bool_()) for c in (1, 2)), part.column("pos").take(at), part.column("name").take(at), part.column("w").take(at)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "sure", "longer", "pos", "name", "w"])
+
+    return words.select("pos", "name", "w").mapInArrow(run, "key string, sure boolean, longer boolean, pos long, name string, w string")
+
+
+def _spelled_alike(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a_pos, a_name, a_w, b_pos, b_name, b_w) of alike words, a before b, some of them several times, from keyed words."""
+    keyed = keyed.select("key", "longer", "pos", "name", "w")
+    met = keyed.filter("NOT longer").alias("x").join(keyed.filter("longer").alias("y"), "key").filter("x.pos < y.pos OR x.pos > y.pos AND length(x.w) < length(y.w)")
+    first = F.col("x.pos") < F.col("y.pos")
+    flat = met.select(*(F.when(first, F.col(f"{u}.{c}")).otherwise(F.col(f"{v}.{c}")).alias(f"{n}_{c}") for n, u, v in (("a", "x", "y"), ("b", "y", "x")) for c in ("pos", "name", "w")))
 
-    return flat.mapInArrow(run, "a string, b string")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            words = zip(t.column("a_w").to_pylist(), t.column("b_w").to_pylist(), strict=True)
+            yield t.filter(pa.array([200 * _common(x, y) >= similarity * (len(x) + len(y)) for x, y in words], pa.bool_()))
+
+    return flat.mapInArrow(check, flat.schema)
+
+
+def _spelled_links(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), places of words that are alike or linked by such: every word of a sure key to the key's first one, and pairs by other keys."""
+    w = Window.partitionBy("key")
+    met = keyed.filter("sure").select("key", "longer", "pos").withColumns({"a": F.min("pos").over(w), "some": F.max("longer").over(w), "all": F.min("longer").over(w)})
+    stars = met.filter("some AND NOT all AND a <> pos").select("a", F.col("pos").alias("b"))
+    return stars.unionByName(_spelled_alike(keyed.filter("NOT sure"), similarity).select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"))).distinct()
+
+
+def _keys(w: str, similarity: float) -> list[tuple[str, bool, bool]]:
+    """(key, whether all that meet by it are alike, whether w is the longer word) of all that w may meet by; of words of n and m letters, both sides have the same way."""
+    out: list[tuple[str, bool, bool]] = []
+    size, kept = len(w), {}
+    for other in range(math.ceil(size * similarity / (200 - similarity) - 1e-9), math.floor(size * (200 - similarity) / similarity + 1e-9) + 1):
+        n, m = min(size, other), max(size, other)
+        common = math.ceil((n + m) * similarity / 200 - 1e-9)
+        less, more = n - common, m - common
+        if less < 0:
+            continue
+        sides = [False, True] if n == m else [size == m]
+        if math.comb(m, more) <= MOST_KEPT:
+            if common not in kept:
+                kept[common] = {"".join(x) for x in combinations(w, common)}
+            out += [(f"{n},{m},{x}", True, longer) for longer in sides for x in kept[common]]
+            continue
+        k = less + more + 1
+        for i in range(k):
+            place, end = i * n // k, (i + 1) * n // k
+            if False in sides:
+                out.append((f"{n},{m},{i},{w[place:end]}", False, False))
+            if True in sides:
+                moved = {w[place + by : end + by] for by in range(-less, more + 1) if place + by >= 0 and end + by <= m}
+                out += [(f"{n},{m},{i},{x}", False, True) for x in moved]
+    return out
 
 
 def _common(a: str, b: str) -> int:
@@ -116,9 +163,12 @@ def _common(a: str, b: str) -> int:
 
 def cluster_aliases(counts: DataFrame, least_count: int = LEAST_COUNT, similarity: float = SIMILARITY, anchor_count: int = ANCHOR_COUNT) -> DataFrame:
     """(pos, canonical, aliases): connected names; the most frequent one (first on ties) names the cluster."""
-    names = counts.filter(F.col("cnt") >= least_count)
-    found = components(alias_pairs(counts, least_count, similarity, anchor_count)).withColumnRenamed("node", "name")
-    grouped = names.join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    names = counts.filter(F.col("cnt") >= least_count).withColumn("pos", F.col("pos").cast("long"))
+    many, one = _countable(counts, least_count)
+    held = _held(many, anchor_count).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
+    # words of a group are linked through one of them, so links are as many as keys, not as pairs
+    links = cut_lineage(held.unionByName(_spelled_links(_spelled(one, similarity), similarity)))
+    grouped = names.join(components(links).withColumnRenamed("node", "pos"), "pos", "left").withColumn("component", F.coalesce("component", "pos"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "pos", "name")))
     rows = grouped.groupBy("component").agg(F.min("pos").alias("pos"), ordered.alias("m"))
     return rows.select("pos", F.col("m")[0]["name"].alias("canonical"), F.transform("m", lambda x: x["name"]).alias("aliases"))

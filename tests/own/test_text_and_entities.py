@@ -284,3 +284,23 @@ def test_titles_and_ids_as_one_after_the_other_would_have_them(spark):
             taken.add(want[-1])
     got = entities.to_entities(spark.createDataFrame([(i, s, [s]) for i, s in enumerate(slugs)], "pos long, canonical string, aliases array<string>"))
     assert [x.char_id for x in got.orderBy("pos").collect()] == want
+
+
+def test_words_meet_by_few_keys_and_clusters_by_stars(spark):
+    rng = random.Random(5)
+    made = sorted({"".join(rng.choice("abc") for _ in range(rng.choice([3, 5, 6, 7, 8, 9, 12, 15, 17, 21]))).title() for _ in range(90)} | {"Abcabcab" + x for x in "defghijklm"})
+    made += [x[:4] + "c" + x[4:] for x in made if len(x) > 11]
+    made = sorted(set(made))
+    c = counts(spark, [(x, 9) for x in made])
+    low = [x.lower() for x in made]
+    alike = {(made[i], made[j]) for j in range(len(made)) for i in range(j) if 200 * entities._common(low[i], low[j]) >= 85 * (len(low[i]) + len(low[j]))}
+    assert {(x.a, x.b) for x in entities.alias_pairs(c).collect()} == alike and len(alike) > 60
+    root = {x: x for x in made}
+    for _ in made:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(sorted, (x.aliases for x in entities.cluster_aliases(c).collect()))) == sorted(sorted(x for x in made if root[x] == r) for r in set(root.values()))
+    # ten words of one subsequence are linked through one of them
+    links = entities._spelled_links(entities._spelled(c.filter("name LIKE 'Abcabcab_'").select(F.col("pos").cast("long").alias("pos"), "name", F.lower("name").alias("w")), 85), 85)
+    assert links.count() == 9
+    assert entities.MOST_KEPT == 500 and len(entities._keys("abcdefgh", 85)) < 60
