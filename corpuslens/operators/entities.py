@@ -51,7 +51,8 @@ def alias_pairs(counts: DataFrame, least_count: int = LEAST_COUNT, similarity: f
     """
     many, one = _countable(counts, least_count)
     long_pairs = _held(many, anchor_count).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    return long_pairs.unionByName(_spelled_alike(_spelled(one, similarity), similarity).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))).distinct()
+    met = _met(*(_spelled(one, similarity, longer) for longer in (False, True)))
+    return long_pairs.unionByName(_spelled_alike(met, one, similarity).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))).distinct()
 
 
 def _countable(counts: DataFrame, least_count: int) -> tuple[DataFrame, DataFrame]:
@@ -75,8 +76,8 @@ def _held(many: DataFrame, anchor_count: int) -> DataFrame:
     return met.filter(~rare_anchor)
 
 
-def _spelled(words: DataFrame, similarity: float) -> DataFrame:
-    """(key, sure, longer, pos, name, w) of words(pos, name, w): what those whose Indel ratio is similarity at least meet by.
+def _spelled(words: DataFrame, similarity: float, longer: bool | None = None) -> DataFrame:
+    """(key, sure, longer, pos, name, w) of words(pos, name, w): what those whose Indel ratio is similarity at least meet by; longer: only the keys of that side.
 
     Words of n <= m letters are alike if and only if they share a subsequence of l letters, so words of
     any two such lengths meet by theirs: an equi-join on whole subsequences, which few others share. Lengths for which a word
@@ -89,7 +90,7 @@ def _spelled(words: DataFrame, similarity: float) -> DataFrame:
         for t in batches:
             for low in range(0, t.num_rows, 2000):
                 part = t.slice(low, 2000)
-                made = [_keys(w, similarity) for w in part.column("w").to_pylist()]
+                made = [_keys(w, similarity, (False, True) if longer is None else (longer,)) for w in part.column("w").to_pylist()]
                 size = [len(x) for x in made]
                 at = pa.array(np.repeat(np.arange(len(made)), size))
                 flat = [x for own in made for x in own]
@@ -99,12 +100,17 @@ def _spelled(words: DataFrame, similarity: float) -> DataFrame:
     return words.select("pos", "name", "w").mapInArrow(run, "key string, sure boolean, longer boolean, pos long, name string, w string")
 
 
-def _spelled_alike(keyed: DataFrame, similarity: float) -> DataFrame:
-    """(a_pos, a_name, a_w, b_pos, b_name, b_w) of alike words, a before b, some of them several times, from keyed words."""
-    keyed = keyed.select("key", "longer", "pos", "name", "w")
-    met = keyed.filter("NOT longer").alias("x").join(keyed.filter("longer").alias("y"), "key").filter("x.pos < y.pos OR x.pos > y.pos AND length(x.w) < length(y.w)")
-    first = F.col("x.pos") < F.col("y.pos")
-    flat = met.select(*(F.when(first, F.col(f"{u}.{c}")).otherwise(F.col(f"{v}.{c}")).alias(f"{n}_{c}") for n, u, v in (("a", "x", "y"), ("b", "y", "x")) for c in ("pos", "name", "w")))
+def _met(shorter: DataFrame, longer: DataFrame) -> DataFrame:
+    """(a_pos, b_pos), each once, of words that share a key, a before b; keys are joined as hashes and rows hold numbers only, so some that share none may be among them."""
+    x, y = (side.select(F.xxhash64("key").alias("key"), F.col("pos").alias(f"{n}_pos"), F.length("w").alias(f"{n}_n")) for side, n in ((shorter, "x"), (longer, "y")))
+    met = x.join(y, "key").filter("x_pos < y_pos OR x_pos > y_pos AND x_n < y_n")
+    return met.select(F.least("x_pos", "y_pos").alias("a_pos"), F.greatest("x_pos", "y_pos").alias("b_pos")).distinct()
+
+
+def _spelled_alike(met: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a_pos, a_name, a_w, b_pos, b_name, b_w) of those pairs of met(a_pos, b_pos) that are alike, with words(pos, name, w)."""
+    a, b = (words.select(*(F.col(c).alias(f"{n}_{c}") for c in ("pos", "name", "w"))) for n in "ab")
+    flat = met.join(a, "a_pos").join(b, "b_pos").select("a_pos", "a_name", "a_w", "b_pos", "b_name", "b_w")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -119,10 +125,12 @@ def _spelled_links(keyed: DataFrame, similarity: float) -> DataFrame:
     w = Window.partitionBy("key")
     met = keyed.filter("sure").select("key", "longer", "pos").withColumns({"a": F.min("pos").over(w), "some": F.max("longer").over(w), "all": F.min("longer").over(w)})
     stars = met.filter("some AND NOT all AND a <> pos").select("a", F.col("pos").alias("b"))
-    return stars.unionByName(_spelled_alike(keyed.filter("NOT sure"), similarity).select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"))).distinct()
+    unsure = keyed.filter("NOT sure")
+    alike = _spelled_alike(_met(unsure.filter("NOT longer"), unsure.filter("longer")), unsure.select("pos", "name", "w").distinct(), similarity)
+    return stars.unionByName(alike.select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"))).distinct()
 
 
-def _keys(w: str, similarity: float) -> list[tuple[str, bool, bool]]:
+def _keys(w: str, similarity: float, wanted: tuple[bool, ...] = (False, True)) -> list[tuple[str, bool, bool]]:
     """(key, whether all that meet by it are alike, whether w is the longer word) of all that w may meet by; of words of n and m letters, both sides have the same way."""
     out: list[tuple[str, bool, bool]] = []
     size, kept = len(w), {}
@@ -132,7 +140,9 @@ def _keys(w: str, similarity: float) -> list[tuple[str, bool, bool]]:
         less, more = n - common, m - common
         if less < 0:
             continue
-        sides = [False, True] if n == m else [size == m]
+        sides = [x for x in ((False, True) if n == m else (size == m,)) if x in wanted]
+        if not sides:
+            continue
         if math.comb(m, more) <= MOST_KEPT:
             if common not in kept:
                 kept[common] = {"".join(x) for x in combinations(w, common)}

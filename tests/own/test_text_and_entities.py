@@ -304,3 +304,16 @@ def test_words_meet_by_few_keys_and_clusters_by_stars(spark):
     links = entities._spelled_links(entities._spelled(c.filter("name LIKE 'Abcabcab_'").select(F.col("pos").cast("long").alias("pos"), "name", F.lower("name").alias("w")), 85), 85)
     assert links.count() == 9
     assert entities.MOST_KEPT == 500 and len(entities._keys("abcdefgh", 85)) < 60
+
+
+def test_words_meet_by_numbers_and_each_pair_once(spark):
+    # of six and seven letters, sharing many subsequences, so the pairs meet by several keys
+    words = ["Aabbcc", "Aabbccd", "Aabbcca", "Xaabbcc"]
+    one = counts(spark, [(x, 9) for x in words]).select(F.col("pos").cast("long").alias("pos"), "name", F.lower("name").alias("w"))
+    met = entities._met(*(entities._spelled(one, 85, longer) for longer in (False, True)))
+    assert {t for _, t in met.dtypes} == {"bigint"}
+    low = one.orderBy("pos").collect()
+    alike = sorted((x.pos, y.pos) for x in low for y in low if x.pos < y.pos and 200 * entities._common(x.w, y.w) >= 85 * (len(x.w) + len(y.w)))
+    assert sorted(map(tuple, met.collect())) == sorted((x.a_pos, x.b_pos) for x in entities._spelled_alike(met, one, 85).collect()) == alike and len(alike) > 3
+    for w in words:
+        assert sorted(k for side in (False, True) for k in entities._keys(w, 85, (side,))) == sorted(entities._keys(w, 85))
