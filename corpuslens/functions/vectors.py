@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -28,10 +29,11 @@ def normalise(v: Column) -> Column:
 
 def bag_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
     """A row for each text: counts of its first tokens by hash, of length 1 (zeros without tokens)."""
-    out = np.zeros((len(texts), dimensions))
-    for i, t in enumerate(texts):
-        for w in _TOKEN.findall((t or "").lower())[:MOST_TOKENS]:
-            out[i, crc32(w.encode()) % dimensions] += 1
+    words = [_TOKEN.findall((t or "").lower())[:MOST_TOKENS] for t in texts]
+    place = {w: crc32(w.encode()) % dimensions for w in set(chain.from_iterable(words))}
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(texts)))
+    at = np.fromiter(map(place.__getitem__, chain.from_iterable(words)), np.int64, len(row))
+    out = np.bincount(row * dimensions + at, minlength=len(texts) * dimensions).reshape(len(texts), dimensions).astype(np.float64)
     norm = np.sqrt((out**2).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 

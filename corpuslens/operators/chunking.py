@@ -19,6 +19,7 @@ from .entities import tag_characters
 from .graph import cut_lineage
 
 THRESHOLD, LEAST, MOST, OVERLAP = 0.35, 100, 400, 1
+KEYS = ["book_num", "chapter_num", "chapter_title", "page_start"]
 
 
 def fold(parts: Column, threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> Column:
@@ -70,19 +71,66 @@ def sentence_parts(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray
     return with_likes.withColumn("parts", F.zip_with("_s", "_like", part)).drop("_s", "_like")
 
 
+def paragraph_chunks(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray] = bag_vectors, threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """The paragraph chunks of each chapter, as fold has them of sentence_parts; only texts of chunks leave the worker.
+
+    encode maps sentences of several chapters to rows of length 1.
+    """
+    split = chapters.select(*KEYS, sentences(F.col("text")).alias("_s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                chapters = part.column("_s").to_pylist()
+                flat = [s for own in chapters for s in own]
+                v = encode(flat) if flat else np.zeros((0, 1))
+                likes, n = [0.0, *(v[1:] * v[:-1]).sum(1).tolist()], [len(s.split()) for s in flat]
+                texts, first = [], 0
+                for own in chapters:
+                    last = first + len(own)
+                    texts.append([" ".join(own[k] for k in at) for at in _folded(n[first:last], likes[first:last], threshold, least, most, overlap)])
+                    first = last
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.list_(pa.string()))], [*part.schema.names[:-1], "_t"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in split.dtypes if n != "_s")
+    rows = split.mapInArrow(run, f"{fields}, `_t` array<string>").select(*KEYS, F.lit("paragraph").alias("chunk_type"), F.posexplode("_t").alias("chunk_index", "text"))
+    return rows.withColumn("id", _id())
+
+
+def _folded(n: list[int], likes: list[float], threshold: float, least: int, most: int, overlap: int) -> list[list[int]]:
+    """fold's places of sentences, from their tokens and likenesses."""
+    if not n:
+        return []
+    out, cur, size = [], [0], n[0]
+    for i in range(1, len(n)):
+        if size + n[i] > most or (likes[i] < threshold and size >= least):
+            out.append(cur)
+            cur = [*(cur[-overlap:] if overlap else []), i]
+            size = sum(n[k] for k in cur)
+        else:
+            cur.append(i)
+            size += n[i]
+    return [*out, cur]
+
+
+def chapter_chunks(chapters: DataFrame) -> DataFrame:
+    """A chunk of each chapter's whole text."""
+    rows = chapters.select(*KEYS, F.lit("chapter").alias("chunk_type"), F.lit(0).alias("chunk_index"), "text")
+    return rows.withColumn("id", _id())
+
+
+def _id() -> Column:
+    return chunk_id(F.col("book_num"), F.col("chapter_num"), F.col("chunk_index"), F.col("chunk_type"))
+
+
 def chunk_chapters(chapters: DataFrame, encode: Callable[[list[str]], np.ndarray] = bag_vectors, threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP, people: DataFrame | None = None) -> DataFrame:
     """One chapter chunk and the paragraph chunks of each chapter, with deterministic ids.
 
     Columns: id, book_num, chapter_num, chapter_title, text, chunk_type, chunk_index, page_start; with people (entities),
     also characters: the ids of those that a chunk names.
     """
-    keys = ["book_num", "chapter_num", "chapter_title", "page_start"]
-    parts = sentence_parts(chapters.select(*keys, "text"), encode)
-    # the array is bound once: inlined, each step of the fold would compute it again
-    folded = F.transform(F.array("parts"), lambda p: fold(p, threshold, least, most, overlap))[0]
-    both = parts.select(*keys, F.array(F.struct(F.lit("chapter").alias("chunk_type"), F.array("text").alias("t")), F.struct(F.lit("paragraph").alias("chunk_type"), folded.alias("t"))).alias("kinds"))
-    rows = both.select(*keys, F.explode("kinds").alias("k")).select(*keys, "k.chunk_type", F.posexplode("k.t").alias("chunk_index", "text"))
-    chunks = rows.withColumn("id", chunk_id(F.col("book_num"), F.col("chapter_num"), F.col("chunk_index"), F.col("chunk_type")))
+    chunks = chapter_chunks(chapters).unionByName(paragraph_chunks(chapters, encode, threshold, least, most, overlap))
     if people is None:
         return chunks
     chunks = cut_lineage(chunks)

@@ -19,11 +19,27 @@ BLOCK = 4096
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(token, doc_pos, token_pos): distinct tokens of docs(pos, text) with their first place."""
-    words = docs.select("pos", F.posexplode(tokens(F.col("text"))).alias("i", "token"))
-    first = words.groupBy("token").agg(F.min(F.struct(F.col("pos").alias("doc_pos"), F.col("i").alias("token_pos"))).alias("f"))
+    words = docs.select("pos", tokens(F.col("text")).alias("w"))
+    firsts = words.mapInArrow(_firsts, f"token string, doc_pos {dict(docs.dtypes)['pos']}, token_pos int")
+    first = firsts.groupBy("token").agg(F.min(F.struct("doc_pos", "token_pos")).alias("f"))
     return first.select("token", "f.doc_pos", "f.token_pos")
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each token of a batch of (pos, w) with its first place there, so that no row a word is sorted."""
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column("pos"), null_placement="at_start"))
+        w = batch.column("w")
+        size = pc.fill_null(pc.list_value_length(w), 0).to_numpy()
+        flat = w.flatten().dictionary_encode()
+        code = flat.indices.to_numpy(zero_copy_only=False)
+        at = np.zeros(len(flat.dictionary), np.int64)
+        at[code[::-1]] = np.arange(len(code))[::-1]  # of several places of a token the last one written stays, which is the first
+        doc = np.searchsorted(np.cumsum(size), at, side="right")
+        place = at - (np.cumsum(size) - size)[doc]
+        yield pa.RecordBatch.from_arrays([flat.dictionary.cast(pa.string()), batch.column("pos").take(pa.array(doc)), pa.array(place, pa.int32())], ["token", "doc_pos", "token_pos"])
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("i", "token"))
 

@@ -11,6 +11,7 @@ from ..functions.text import strip
 from ..functions.vectors import hashed_embedding
 from ..operators import bm25, fusion, rewrite
 from ..operators.dense import dense_search, matches_any
+from ..operators.graph import cut_lineage
 
 PARAGRAPHS, CHAPTERS, TOP = 20, 5, 10
 PREFIX = "Represent this sentence for searching relevant passages: "
@@ -18,10 +19,14 @@ PREFIX = "Represent this sentence for searching relevant passages: "
 
 @dataclass
 class Index:
-    """What searches read, each from the unfiltered corpus: chunks(id, pos, chunk_type, text, characters, embedding, ...)."""
+    """What searches read, each from the unfiltered corpus: chunks(id, pos, chunk_type, text, characters, ...).
+
+    Without embedding in chunks their texts are encoded by each search, without postings texts are
+    searched themselves: for one batch of queries, of which nothing is to be kept.
+    """
 
     chunks: DataFrame
-    postings: dict[str, DataFrame]
+    postings: dict[str, DataFrame] | None
     vocab: DataFrame
 
 
@@ -37,12 +42,18 @@ def dense(index: Index, queries: DataFrame, kind: str, k: int, wanted: list[str]
     """Top k by cosine of prefixed queries (passages are encoded without); characters filter before."""
     rows = index.chunks.filter((F.col("chunk_type") == kind) & matches_any("characters", wanted))
     asked = queries.select("query_id", encode(F.concat(F.lit(prefix), F.col("text"))).alias("embedding"))
-    return dense_search(rows.select("id", "pos", "embedding"), asked, k)
+    vector = F.col("embedding") if "embedding" in rows.columns else encode(F.col("text")).alias("embedding")
+    return dense_search(rows.select("id", "pos", vector), asked, k)
 
 
 def sparse(index: Index, queries: DataFrame, kind: str, k: int, wanted: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Top k by BM25; characters filter after a larger fetch (before, if exact)."""
-    return bm25.search_filtered(index.postings[kind], queries, k, index.chunks, wanted, exact)
+    if index.postings:
+        return bm25.search_filtered(index.postings[kind], queries, k, index.chunks, wanted, exact)
+    rows = index.chunks.filter(F.col("chunk_type") == kind)
+    if not wanted:
+        return bm25.search_texts(rows, queries, k)
+    return bm25.search_filtered(bm25.build_postings(rows), queries, k, index.chunks, wanted, exact)
 
 
 def hybrid_search(index: Index, queries: DataFrame, paragraphs: int = PARAGRAPHS, chapters: int = CHAPTERS, top: int = TOP, wanted: list[str] | None = None, encode=hashed_embedding, payload: tuple[str, ...] = (), correct: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +65,13 @@ def hybrid_search(index: Index, queries: DataFrame, paragraphs: int = PARAGRAPHS
     if not queries.filter(F.col("text").isNull() | (F.length(strip(F.col("text"))) == 0)).isEmpty():
         raise ValueError("a query is empty")
     asked = rewrite.rewrite(queries, index.vocab) if correct else queries.select("query_id", F.array_join(bm25.tokens(F.col("text")), " ").alias("rewritten"), F.array().cast("array<struct<typo:string,fix:string>>").alias("corrections"))
+    asked = cut_lineage(asked)
     seen = asked.select("query_id", F.col("rewritten").alias("text"))
     lists = [f(index, seen, kind, k, wanted, **more) for kind, k in (("paragraph", paragraphs), ("chapter", chapters)) for f, more in ((dense, {"encode": encode}), (sparse, {}))]
     fused = fusion.reciprocal_rank_fusion(fusion.union_lists([x.select("query_id", "rank", "id") for x in lists]), top=top)
     if payload:
-        fused = fused.join(index.chunks.select("id", *payload), "id")
+        fused = cut_lineage(fused)
+        small = fused.limit(bm25.MOST_BROADCAST + 1).count() <= bm25.MOST_BROADCAST
+        # payloads of hits only are moved
+        fused = index.chunks.select("id", *payload).join(F.broadcast(fused) if small else fused, "id").select(*fused.columns, *payload)
     return fused, asked

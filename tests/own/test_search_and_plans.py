@@ -293,3 +293,28 @@ def test_synthesise_makes_no_postings_of_all_texts(spark, tables, monkeypatch):
     no_postings(monkeypatch)
     got = [(x.query_id, x.sources, x.conviction) for x in queries.synthesise(spark, tables).orderBy("query_id").collect()]
     assert got == [(0, "1", 1), (1, "0", 1)]
+
+
+def test_hybrid_search_makes_no_postings_of_all_texts(spark, tables, monkeypatch):
+    chunks = queries._hybrid_index(spark, tables).chunks
+    assert "embedding" not in chunks.columns and sorted((x.chunk_type, x.pos % 10**6, x.text) for x in chunks.filter("text LIKE '%sails%'").collect()) == [(k, 0, "The ship sails. It is old.") for k in ("chapter", "paragraph")]
+    kept = hybrid.build_index(chunks)
+    assert sorted(map(tuple, kept.vocab.collect())) == sorted(map(tuple, queries._hybrid_index(spark, tables).vocab.collect()))
+    show = lambda found: sorted((x.query_id, x["rank"], x.id, round(x.score, 6)) for x in found.collect())
+    want = show(hybrid.hybrid_search(kept, queries._asked(spark, tables))[0])
+    some = show(hybrid.hybrid_search(kept, queries._asked(spark, tables), wanted=["book1"])[0])
+    assert some == show(hybrid.hybrid_search(queries._hybrid_index(spark, tables), queries._asked(spark, tables), wanted=["book1"])[0])
+    no_postings(monkeypatch)
+    assert show(queries.hybrid_search(spark, tables)) == want and {x[0] for x in want} == {0, 1}
+
+
+def test_first_places_by_batches(spark):
+    rows = [(7, "b a"), (3, "c a a"), (5, ""), (4, "a b"), (9, "d d c"), (6, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        d = spark.createDataFrame(rows, "pos long, text string").coalesce(1)
+        found = rewrite.vocabulary(d)
+        assert sorted(map(tuple, found.collect())) == [("a", 3, 1), ("b", 4, 1), ("c", 3, 0), ("d", 9, 0)]
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a word
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

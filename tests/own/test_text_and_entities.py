@@ -13,6 +13,7 @@ from corpuslens.functions.vectors import bag_vectors
 from corpuslens.operators import chapters, chunking, entities
 from corpuslens.operators.graph import components
 from corpuslens.plans import queries
+from corpuslens.sources import readers
 
 
 def column(spark, values, fn):
@@ -317,3 +318,21 @@ def test_words_meet_by_numbers_and_each_pair_once(spark):
     assert sorted(map(tuple, met.collect())) == sorted((x.a_pos, x.b_pos) for x in entities._spelled_alike(met, one, 85).collect()) == alike and len(alike) > 3
     for w in words:
         assert sorted(k for side in (False, True) for k in entities._keys(w, 85, (side,))) == sorted(entities._keys(w, 85))
+
+
+def test_paragraphs_are_those_of_the_fold_and_chapters_are_numbered_in_place(spark):
+    r = random.Random(23)
+    texts = [" ".join(" ".join(r.choice(["sea", "ship", "mast", "old　rope", "x"]) for _ in range(r.choice([1, 4, 30, 150, 420]))) + ". " for _ in range(r.randint(0, 30))) for _ in range(30)] + [None, "one"]
+    docs = spark.createDataFrame([(i // 2 if i < 4 else i, f"s{i % 3}" if i > 3 else "s0", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    ch = readers.documents_as_chapters(docs)
+    for overlap in (0, 1, 2):
+        want = chunking.sentence_parts(ch).select("book_num", "chapter_num", F.posexplode(F.transform(F.array("parts"), lambda p: chunking.fold(p, overlap=overlap))[0]))
+        got = chunking.paragraph_chunks(ch, overlap=overlap).select("book_num", "chapter_num", "chunk_index", "text").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) > 100
+    numbers = sorted((x.book_num, x.chapter_num, x.doc_id) for x in ch.collect())
+    assert [x[1] for x in numbers if x[0] == 1] == list(range(1, 1 + sum(x[0] == 1 for x in numbers))) and len(numbers) == 32
+    for book in {x[0] for x in numbers}:
+        assert (own := [x[2] for x in numbers if x[0] == book]) == sorted(own)
+    # texts are not shuffled to be numbered, if none share their id
+    plan = readers.documents_as_chapters(docs.filter("doc_id > 3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
