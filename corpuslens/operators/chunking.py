@@ -1,7 +1,8 @@
 """Semantic chunks: a fold over the sentences of a chapter.
 
-The fold is sequential (a cut resets the count and carries sentences over), so it is an
-``aggregate`` over a chapter's sentence array; chapters are independent rows.
+The fold is sequential (a cut resets the count and carries sentences over); chapters are
+independent rows. ``fold`` says it as an ``aggregate`` over a chapter's sentence array, paragraph_chunks
+does it where sentences are compared.
 """
 
 from __future__ import annotations
