@@ -318,3 +318,14 @@ def test_first_places_by_batches(spark):
         assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a word
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_research_report_makes_no_postings_and_moves_texts_of_hits_only(spark, tables, monkeypatch):
+    kept = hybrid.build_index(queries._hybrid_index(spark, tables).chunks)
+    report = lambda index: sorted((x.query_id, x.conviction, len(x.source_ids), x.n_sub, x.n_empty) for x in research.research(index, queries._asked(spark, tables)).collect())
+    want = report(kept)
+    hits, _ = hybrid.hybrid_search(queries._hybrid_index(spark, tables), queries._asked(spark, tables), payload=("text",))
+    hits.collect()
+    assert "SortMergeJoin" not in hits._jdf.queryExecution().optimizedPlan().toString() and "strategy=broadcast" in hits._jdf.queryExecution().optimizedPlan().toString()
+    no_postings(monkeypatch)
+    assert sorted(map(tuple, queries.research_report(spark, tables).collect())) == want and len(want) == 2
