@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import release
+
 DIMENSIONS, MOST_TOKENS = 64, 512
 _TOKEN = re.compile(r"\w+")
 
@@ -39,6 +42,8 @@ def bag_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.nda
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_embedding(texts: pd.Series) -> pd.Series:
+def hashed_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Deterministic stand-in for a sentence encoder, in Arrow batches."""
-    return pd.Series(list(bag_vectors(texts.tolist())))
+    for texts in batches:
+        yield pd.Series(list(bag_vectors(texts.tolist())))
+    release()

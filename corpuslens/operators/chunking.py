@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import released
 from ..functions.text import chunk_id, sentences, token_count
 from ..functions.vectors import bag_vectors, dot
 from .entities import tag_characters
@@ -95,7 +96,7 @@ def paragraph_chunks(chapters: DataFrame, encode: Callable[[list[str]], np.ndarr
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.list_(pa.string()))], [*part.schema.names[:-1], "_t"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in split.dtypes if n != "_s")
-    rows = split.mapInArrow(run, f"{fields}, `_t` array<string>").select(*KEYS, F.lit("paragraph").alias("chunk_type"), F.posexplode("_t").alias("chunk_index", "text"))
+    rows = split.mapInArrow(released(run), f"{fields}, `_t` array<string>").select(*KEYS, F.lit("paragraph").alias("chunk_type"), F.posexplode("_t").alias("chunk_index", "text"))
     return rows.withColumn("id", _id())
 
 

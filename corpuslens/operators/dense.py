@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import released
 from .bm25 import top_k
 
 #: Query vectors that are broadcast together.
 BLOCK = 4096
+#: Vectors whose scores are held against the best so far at once.
+ROWS = 256
 
 
 def matches_any(column: str, wanted: list[str] | None):
@@ -43,40 +46,38 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = BL
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            kept = None
+            least = np.full(len(q), -np.inf)  # a query's k-th best score so far
+            kept: list[pa.Table] = []
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 scores = v @ q.T
-                pos = batch.column("pos").to_numpy()
-                for j in range(len(q)):
-                    s = scores[:, j]
-                    top = np.argpartition(-s, k - 1)[:k] if k < len(s) else np.arange(len(s))
-                    if k < len(s):  # ties with the last one are ranked by place
-                        top = np.flatnonzero(s >= s[top].min())
-                        top = top[np.lexsort((pos[top], -s[top]))][:k]
-                    at = pa.array(top)
-                    own = pa.table({"query_id": ids.take(pa.array(np.full(len(top), j))), "id": batch.column("id").take(at), "pos": pa.array(pos[top]), "score": pa.array(s[top])})
-                    kept = [] if kept is None else kept
-                    kept.append(own)
-                if sum(map(len, kept)) > 200_000:
-                    kept = [_best(pa.concat_tables(kept), k)]
+                for low in range(0, len(v), ROWS):
+                    d, j = np.nonzero(~(scores[low : low + ROWS] < least))
+                    if not len(d):
+                        continue
+                    at = pa.array(d + low)
+                    kept.append(pa.table({"q": pa.array(j), "id": batch.column("id").take(at), "pos": batch.column("pos").take(at), "score": pa.array(scores[d + low, j])}))
+                    if sum(map(len, kept)) > max(50_000, 2 * k * len(q)):
+                        kept = [_best(pa.concat_tables(kept), k, least)]
             if kept:
-                yield from _best(pa.concat_tables(kept), k).combine_chunks().to_batches()
+                rows = _best(pa.concat_tables(kept), k, least)
+                yield from pa.table({"query_id": ids.take(rows.column("q").combine_chunks()), **{c: rows.column(c) for c in ("id", "pos", "score")}}).combine_chunks().to_batches()
 
-        found = vectors.select("id", F.col("pos").cast("long").alias("pos"), "embedding").mapInArrow(best, schema)
+        found = vectors.select("id", F.col("pos").cast("long").alias("pos"), "embedding").mapInArrow(released(best), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
     return top_k(out, k)
 
 
-def _best(rows: pa.Table, k: int) -> pa.Table:
-    """The k best rows of each query."""
-    names = rows.column("query_id").combine_chunks().dictionary_encode()
-    q = names.indices.to_numpy()
-    order = np.lexsort((rows.column("pos").to_numpy(), -rows.column("score").to_numpy(), q))
+def _best(rows: pa.Table, k: int, least: np.ndarray) -> pa.Table:
+    """The k best rows of each query, whose k-th best scores go into least."""
+    q, score = rows.column("q").to_numpy(), rows.column("score").to_numpy()
+    order = np.lexsort((rows.column("pos").to_numpy(), -score, q))
     starts = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1])))
     place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return rows.take(pa.array(order[place < k]))
+    last = order[place == k - 1]
+    least[q[last]] = score[last]
+    return rows.take(pa.array(order[place < k])).combine_chunks()

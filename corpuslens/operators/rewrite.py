@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import released
 from ..functions.text import tokens
+from .graph import no_rows
 
 CUTOFF, LEAST_LENGTH = 80, 5
 #: Tokens that are broadcast together.
@@ -20,7 +22,7 @@ BLOCK = 4096
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(token, doc_pos, token_pos): distinct tokens of docs(pos, text) with their first place."""
     words = docs.select("pos", tokens(F.col("text")).alias("w"))
-    firsts = words.mapInArrow(_firsts, f"token string, doc_pos {dict(docs.dtypes)['pos']}, token_pos int")
+    firsts = words.mapInArrow(released(_firsts), f"token string, doc_pos {dict(docs.dtypes)['pos']}, token_pos int")
     first = firsts.groupBy("token").agg(F.min(F.struct("doc_pos", "token_pos")).alias("f"))
     return first.select("token", "f.doc_pos", "f.token_pos")
 
@@ -94,7 +96,7 @@ def nearest(unknown: DataFrame, vocab: DataFrame, cutoff: float = CUTOFF, block:
     blocks = max(1, -(-n // block))
     part = F.pmod(F.xxhash64("token"), F.lit(blocks))
     schema = "token string, near string, ratio double, doc_pos long, token_pos long"
-    out = vocab.sparkSession.createDataFrame([], schema)
+    out = no_rows(vocab.sparkSession, schema)
     for b in range(blocks):
         shared = vocab.sparkSession.sparkContext.broadcast([r[0] for r in unknown.filter(part == b).collect()])
 
@@ -125,7 +127,7 @@ def nearest(unknown: DataFrame, vocab: DataFrame, cutoff: float = CUTOFF, block:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["token", "near", "ratio", "doc_pos", "token_pos"])
 
-        out = out.unionByName(vocab.select("token", F.col("doc_pos").cast("long").alias("doc_pos"), F.col("token_pos").cast("long").alias("token_pos")).mapInArrow(best, schema))
+        out = out.unionByName(vocab.select("token", F.col("doc_pos").cast("long").alias("doc_pos"), F.col("token_pos").cast("long").alias("token_pos")).mapInArrow(released(best), schema))
     return out
 
 

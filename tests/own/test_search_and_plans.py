@@ -5,10 +5,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions.memory import released
 from corpuslens.operators import bm25, dense, fusion, rewrite
+from corpuslens.operators.graph import no_rows
 from corpuslens.plans import chat, hybrid, queries, research, stats, synthesis
 from corpuslens.sources import readers, sinks
 
@@ -329,3 +333,47 @@ def test_research_report_makes_no_postings_and_moves_texts_of_hits_only(spark, t
     assert "SortMergeJoin" not in hits._jdf.queryExecution().optimizedPlan().toString() and "strategy=broadcast" in hits._jdf.queryExecution().optimizedPlan().toString()
     no_postings(monkeypatch)
     assert sorted(map(tuple, queries.research_report(spark, tables).collect())) == want and len(want) == 2
+
+
+def test_dense_search_holds_rows_against_the_best_so_far(spark):
+    r = np.random.default_rng(3)
+    v = np.repeat(r.integers(-3, 4, (300, 4)).astype(float), 3, 0)[r.permutation(900)]  # three of each, so there are ties
+    q = r.integers(-3, 4, (70, 4)).astype(float)
+    rows = spark.createDataFrame([(f"x{i}", i, x.tolist()) for i, x in enumerate(v)], "id string, pos long, embedding array<double>").coalesce(2)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>")
+    want = sorted((j, n + 1, f"x{i}") for j, s in enumerate((v @ q.T).T) for n, i in enumerate(np.lexsort((np.arange(900), -s))[:5]))
+    assert sorted((x.query_id, x["rank"], x.id) for x in dense.dense_search(rows, asked, 5).collect()) == want
+    # what is kept of a query's rows bounds those that come later
+    least, kept = np.full(2, -np.inf), pa.table({"q": [0, 0, 0, 1], "id": list("abcd"), "pos": [3, 1, 2, 4], "score": [1.0, 1.0, 2.0, 5.0]})
+    assert dense._best(kept, 2, least).column("id").to_pylist() == ["c", "b", "d"] and least.tolist() == [1.0, -np.inf]
+
+
+def test_texts_of_hybrid_search_go_out_in_small_batches(spark, tables):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        chunks = queries._hybrid_index(spark, tables).chunks
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+        many = chunks.limit(1).crossJoin(spark.range(0, 5000, 1, 1).select(F.col("id").alias("i"))).select("text").coalesce(1)
+        assert max(x.n for x in many.mapInArrow(sizes, "n long").collect()) <= queries.BATCH_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_workers_give_memory_back_and_empty_tables_need_none(spark):
+    def grown(batches):
+        for b in batches:
+            kept = [bytearray(1 << 16) for _ in range(2000)]  # 128 MB in pieces below the allocator's own maps
+            del kept[::2]
+            yield b
+
+    def resident(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"mb": pa.array([int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20] * b.num_rows, pa.int64())})
+
+    one = spark.range(0, 1, 1, 1)
+    before = one.mapInArrow(resident, "mb long").first().mb
+    assert one.mapInArrow(released(grown), "id long").count() == 1
+    assert one.mapInArrow(resident, "mb long").first().mb < before + 60
+    none = no_rows(spark, "a struct<b:int,c:string>, d array<double>")
+    assert none.dtypes == [("a", "struct<b:int,c:string>"), ("d", "array<double>")] and none.count() == 0
+    assert "Python" not in none._jdf.queryExecution().executedPlan().toString() and "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
